@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import fingerprints, langid, packing, secrets
+from larkspur.llm import fingerprints, langid, packing, quality, secrets
 from larkspur.llm.common import remainder, table
 
 
@@ -18,6 +18,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2).select("doc_id", F.col("quality").alias("label"))
+    found = quality.classify(table(spark, sf_dir, "documents"), labels)
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
     return found.select(
@@ -42,6 +49,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scans": op8_secret_scans,
