@@ -13,10 +13,12 @@ as often as they occur. An empty table gives an empty result. Extra columns of t
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -29,8 +31,6 @@ from larkspur.llm.text import slices
 
 #: Pieces in a bucket at most, about; islands of a bucket; packings in an island; generations of an epoch.
 BUCKET_ITEMS, ISLANDS, POPULATION, GENERATIONS = 4096, 3, 4, 6
-#: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 400_000
 #: The pre-tokenisation pattern that the vocabulary's tokenizer states.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -44,33 +44,24 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes; strings of special tokens are ordinary text.
 
-    Byte-level BPE never merges across pre-tokens, so the ids of a text are those of its pre-tokens, and a
-    remembered pre-token costs a look-up. Strings of special tokens are ordinary text.
+    The tokenizer file's vocabulary numbers its tokens in the order of its merges, which makes it a table of merge ranks;
+    encoding by ranks gives the same ids and needs a fraction of the time and memory.
     """
 
     def __init__(self, path: str) -> None:
-        import regex
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(PATTERN).findall
-        self.known: dict[str, bytes] = {}
+        model = json.loads(Path(path).read_text(encoding="utf-8"))
+        special = {x["content"] for x in model.get("added_tokens", ())}
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        shown = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+        ranks = {bytes(shown[c] for c in token): rank for token, rank in model["model"]["vocab"].items() if token not in special}
+        self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
-        parts = self.split(text)
-        known = self.known
-        try:
-            return b"".join([known[x] for x in parts])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = [x for x in dict.fromkeys(parts) if x not in known]
-            for x, encoded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[x] = np.array(encoded.ids, dtype="<u4").tobytes()
-            return b"".join([known[x] for x in parts])
+        return np.array(self.encode(text), dtype="<u4").tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:

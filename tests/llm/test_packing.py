@@ -55,3 +55,14 @@ def test_genetic_steps_keep_every_item_once():
     a, b = packing.best_fit(list(range(60)), lengths, 1000, []), packing.best_fit(list(range(59, -1, -1)), lengths, 1000, [])
     child = packing.crossover(a, b, lengths, 1000, rng)
     assert sorted(i for x in child for i in x) == list(range(60)) and len(found) <= min(len(a), len(b))
+
+
+def test_ids_equal_the_tokenizers():
+    rng = np.random.default_rng(5)
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    t.encode_special_tokens = True
+    encode = packing.Encoder(packing.default_tokenizer())
+    alphabet = list("abc AB'srtldm 019.,!?\n\t\u00a0\u2003\u0085\u200béßñ日本😀\u0301Ⅷ²_-") + ["'ll", "  ", "<|endoftext|>", "the "]
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet, rng.integers(1, 40)))
+        assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
