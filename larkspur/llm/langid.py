@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import arrow_rows
-from larkspur.llm.text import slices, splitmix
+from larkspur.llm.text import directory, slices, splitmix
 
 ORDER = 4
 TRAIN_DOCS = 2000
@@ -88,8 +88,8 @@ class HashTable:
         order = np.argsort(hashes)
         hashes = hashes[order]
         bits = max(1, min(20, int(np.ceil(np.log2(max(len(keys), 1) * 2 + 1)))))
-        directory = np.searchsorted(hashes, np.arange((1 << bits) + 1, dtype=np.float64) * 2.0 ** (64 - bits)).astype(np.int32) if len(keys) else np.zeros((1 << bits) + 1, np.int32)
-        return cls(hashes, values[order].astype(np.float32), bits, directory, int(np.diff(directory).max(initial=1)))
+        starts = directory(hashes, bits)
+        return cls(hashes, values[order].astype(np.float32), bits, starts, int(np.diff(starts).max(initial=1)))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The row of each key, -1 where there is none."""

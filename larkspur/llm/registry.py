@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontaminate, fingerprints, langid, packing, quality, secrets, similarity
+from larkspur.llm import decontaminate, fingerprints, langid, lmscore, packing, quality, secrets, similarity
 from larkspur.llm.common import remainder, table
 
 
@@ -55,6 +55,12 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    training = F.coalesce(remainder("doc_id", 5) != 1, F.lit(True))
+    found = lmscore.lattice_scores(table(spark, sf_dir, "documents"), training)
+    return found.select("doc_id", F.coalesce(remainder("doc_id", 5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
@@ -63,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scans": op8_secret_scans,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 ORACLE_SQL: dict[str, str] = {}

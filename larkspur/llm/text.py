@@ -143,3 +143,9 @@ def ngram_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarr
         value = np.where(inside, words[np.minimum(there, max(len(words) - 1, 0))] if len(words) else 0, np.uint64(0))
         out = splitmix(out * np.uint64(0x9E3779B97F4A7C15) + value + np.uint64(k + 1))
     return np.where(short, splitmix(out), out), begin
+
+
+def directory(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Where in sorted hashes each value of their first bits begins, and their number at the end."""
+    starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    return np.append(np.searchsorted(hashes, starts), len(hashes)).astype(np.int32)
