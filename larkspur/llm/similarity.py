@@ -268,7 +268,10 @@ def similarity_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that are linked, directly or not, with one of a smaller doc_id; repeated rows become one."""
-    found = similarity_join(docs, words, percent).where("component_id < doc_id OR (component_id IS NOT NULL AND doc_id IS NULL)")
-    drop = found.select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, F.col("doc_id").eqNullSafe(F.col("__drop")), "left_anti").dropDuplicates(["doc_id"])
+    """docs without those that are linked, directly or not, with one of a smaller doc_id.
+
+    Rows that are equal in doc_id and text become one. Rows without doc_id can't be told apart by what links them, and stay.
+    """
+    drop = similarity_join(docs, words, percent).where("component_id < doc_id").select(F.col("doc_id").alias("__drop")).distinct()
+    kept = docs.join(drop, F.col("doc_id") == F.col("__drop"), "left_anti")
+    return kept.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
