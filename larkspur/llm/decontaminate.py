@@ -171,6 +171,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that overlap a benchmark item; rows with a null doc_id are judged and kept or dropped together."""
-    hit = overlaps(docs, benchmark).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
+    """The rows of docs, with all their columns, whose text overlaps no benchmark item."""
+    arrow_rows(docs.sparkSession)
+    for block in _blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                words, first = plain_hashes(*column_bytes(batch.column("text")))
+                clean = [not shared.value.overlaps(words[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

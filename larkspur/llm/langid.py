@@ -307,3 +307,27 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     arrow_rows(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, deviation double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs, with all their columns, whose text the model doesn't reject; without a model, all that have letters."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, m = letter_table(), shared.value
+        for batch in slices(batches):
+            s, bounds, letters_in = symbols(batch.column("text").to_pylist(), letters)
+            keep = letters_in > 0
+            if m is not None:
+                keep &= ~_rejected(m, s, bounds)
+            yield batch.filter(pa.array(keep))
+
+    arrow_rows(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _rejected(model: Model, s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    h, n = model.entropies(s, bounds)
+    best = h.argmin(axis=1)
+    off = (h[np.arange(len(n)), best] - model.mean[best]) / np.sqrt(model.between[best] + model.within[best] / n)
+    return off > FAR

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontaminate, fingerprints, langid, lmscore, packing, quality, secrets, similarity
+from larkspur.llm import decontaminate, fingerprints, html, langid, lmscore, packing, quality, secrets, similarity
 from larkspur.llm.common import remainder, table
 
 
@@ -61,6 +61,10 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder("doc_id", 5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
@@ -70,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scans": op8_secret_scans,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -67,6 +67,8 @@ def test_languages_and_odd_rows(spark):
         assert 0 <= r.score <= 1
     assert [rows[k][0].lang_pred for k in (1, 2, 3)] == ["und"] * 3
     assert any(r.rejected for r in rows[4]) and rows[5][0].rejected
+    kept = langid.accepted(spark.createDataFrame(odd, "doc_id long, text string"), model)
+    assert {r.doc_id for r in kept.collect()} <= {4} and langid.accepted(docs, model).count() >= 0.99 * docs.count()
     assert langid.train(docs.where("false")) is None
     assert {r.lang_pred for r in langid.predict(docs.limit(3), None).collect()} == {"und"}
     assert langid.predict(docs.where("false"), model).collect() == []
