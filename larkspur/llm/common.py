@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.session import cut
+from larkspur.session import cut, ensure_checkpoint_dir
 
-__all__ = ["arrow_rows", "cut", "remainder", "table"]
+__all__ = ["arrow_rows", "cut", "remainder", "stash", "table"]
 
 #: Rows of an Arrow batch at most, so that a batch of long texts fits in a Python worker.
 ARROW_ROWS = 1000
@@ -26,3 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus; null stays null."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """df written as compressed Parquet in the shared checkpoint folder and read again: cut() for what is large."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stash-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

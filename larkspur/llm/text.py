@@ -149,3 +149,12 @@ def directory(hashes: np.ndarray, bits: int) -> np.ndarray:
     """Where in sorted hashes each value of their first bits begins, and their number at the end."""
     starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
     return np.append(np.searchsorted(hashes, starts), len(hashes)).astype(np.int32)
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes, case and all."""
+    up, down = _powers().get(len(data) + 1)
+    values = splitmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(values[data] * up[:-1], out=prefix[1:])
+    return splitmix(((prefix[starts + sizes] - prefix[starts]) * down[starts]) ^ sizes.astype(np.uint64))
