@@ -100,6 +100,7 @@ def test_regex_dialect(spark):
 def test_predicates_reach_the_scan(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     f = {"o_orderstatus": "F", "o_totalprice": {"$gte": 1000}, "o_custkey": {"$lt": 50.5}}
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     found = df.where(compile_filter(parse_filter(f), df.schema)).select("o_orderkey")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert all(x in plan for x in ("EqualTo(o_orderstatus,F)", "GreaterThanOrEqual(o_totalprice,1000.0)", "LessThan(o_custkey,51)")), plan
