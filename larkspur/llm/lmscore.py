@@ -32,13 +32,17 @@ from larkspur.llm.text import column_bytes, directory, slices, span_hashes, spli
 
 BROADCAST_WORDS = 1 << 17
 #: Bytes of a piece at most, with the mark as one; words up to so many bytes are summed together.
-LONGEST, TOGETHER = 16, 48
+LONGEST, TOGETHER = 14, 40
+#: Words that a task remembers at most, about.
+REMEMBERED = 2_000_000
 #: Bytes of distinct words that are summed at once.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
+#: Words whose expected counts are taken together.
+WORDS_AT_ONCE = 100_000
 #: The mark of a word's begin as a byte that no UTF-8 text holds.
 MARK = 0xFF
 #: Rounds of expectation; what is taken from each word's count.
-ROUNDS, DISCOUNT = 2, 0.5
+ROUNDS, DISCOUNT = 3, 0.5
 #: What a piece keeps of the vocabulary's own score, as a number of tokens.
 PRIOR = 1000.0
 
@@ -57,43 +61,53 @@ class Lattice:
     logs: np.ndarray
 
     def __post_init__(self) -> None:
-        self.bits = 18
+        self.bits = 17
         self.directory = directory(self.hashes, self.bits)
         self.steps = int(np.diff(self.directory).max(initial=1))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The index of each hash, -1 where it is no piece."""
-        at = self.directory[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
         last = len(self.hashes) - 1
-        out = np.full(len(h), -1, dtype=np.int64)
-        for k in range(self.steps):
-            there = np.minimum(at + k, last)
-            out = np.where(self.hashes[there] == h, there, out)
+        at = np.minimum(self.directory[(h >> np.uint64(64 - self.bits)).astype(np.int64)], last)
+        there = self.hashes[at]
+        out = np.where(there == h, at, -1)
+        todo = np.flatnonzero(there < h)
+        at = at[todo]
+        for _ in range(self.steps):
+            at = np.minimum(at + 1, last)
+            there = self.hashes[at]
+            hit = there == h[todo]
+            out[todo[hit]] = at[hit]
+            more = (there < h[todo]) & (at < last)
+            todo, at = todo[more], at[more]
+            if not len(todo):
+                break
         return out
 
-    def _edges(self, words: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """Indexes of the pieces of each row between each pair of places, -1 where there is none."""
+    def _edges(self, words: np.ndarray) -> dict[int, list[tuple[int, np.ndarray, np.ndarray]]]:
+        """By each end: the begins of what stands before it, with the pieces' indexes and their log-probabilities."""
         n = words.shape[1]
         powers = _powers(LONGEST)
-        values = tables()[0][words]
-        edges = {}
+        columns = np.ascontiguousarray(tables()[0][words].T)
+        edges: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {j: [] for j in range(1, n + 1)}
+        padded = np.append(self.logs, -np.inf)
         for i in range(n):
             running = np.zeros(len(words), dtype=np.uint64)
             for j in range(i + 1, min(n, i + LONGEST) + 1):
-                running = running + values[:, j - 1] * powers[j - 1 - i]
-                edges[i, j] = self.find(splitmix(running ^ np.uint64(j - i)))
+                running = running + columns[j - 1] * powers[j - 1 - i]
+                e = self.find(splitmix(running ^ np.uint64(j - i)))
+                if (e >= 0).any():
+                    edges[j].append((i, e, padded[e]))
         return edges
 
-    def forward(self, words: np.ndarray, edges: dict[tuple[int, int], np.ndarray] | None = None) -> np.ndarray:
-        """len(words) rows of the log-probability of each prefix, over all its segmentations."""
+    def forward(self, words: np.ndarray, edges: dict | None = None) -> np.ndarray:
+        """The log-probability of each prefix, over all its segmentations: a row for each length, a column for each word."""
         edges = edges or self._edges(words)
         n = words.shape[1]
         alpha = np.full((n + 1, len(words)), -np.inf)
         alpha[0] = 0
         for j in range(1, n + 1):
-            for i in range(max(0, j - LONGEST), j):
-                e = edges[i, j]
-                alpha[j] = np.logaddexp(alpha[j], np.where(e >= 0, alpha[i] + self.logs[e], -np.inf))
+            alpha[j] = _log_sum([alpha[i] + log for i, _, log in edges[j]], len(words))
         return alpha
 
     def expect(self, words: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> None:
@@ -103,14 +117,17 @@ class Lattice:
         n = words.shape[1]
         beta = np.full((n + 1, len(words)), -np.inf)
         beta[n] = 0
+        after: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {i: [] for i in range(n)}
+        for j, found in edges.items():
+            for i, e, log in found:
+                after[i].append((j, e, log))
         for i in range(n - 1, -1, -1):
-            for j in range(i + 1, min(n, i + LONGEST) + 1):
-                e = edges[i, j]
-                beta[i] = np.logaddexp(beta[i], np.where(e >= 0, beta[j] + self.logs[e], -np.inf))
-        for (i, j), e in edges.items():
-            there = e >= 0
-            part = np.exp(alpha[i][there] + self.logs[e[there]] + beta[j][there] - alpha[n][there])
-            np.add.at(counts, e[there], part * weights[there])
+            beta[i] = _log_sum([beta[j] + log for j, _, log in after[i]], len(words))
+        for j, found in edges.items():
+            for i, e, log in found:
+                there = np.flatnonzero(e >= 0)
+                part = np.exp(alpha[i][there] + log[there] + beta[j][there] - alpha[n][there])
+                counts += np.bincount(e[there], part * weights[there], len(counts))
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The log-probability of each word of data (lower-cased bytes)."""
@@ -139,6 +156,40 @@ class Lattice:
         return alpha[n]
 
 
+def _log_sum(terms: list[np.ndarray], n: int) -> np.ndarray:
+    """The logarithm of the sum of exponentials, place by place."""
+    if not terms:
+        return np.full(n, -np.inf)
+    stacked = np.stack(terms)
+    top = stacked.max(axis=0)
+    top[np.isneginf(top)] = 0.0
+    stacked -= top
+    np.exp(stacked, out=stacked)
+    with np.errstate(divide="ignore"):
+        return np.log(stacked.sum(axis=0)) + top
+
+
+class Remembered:
+    """Log-probabilities of the words that a task has met, by their hashes."""
+
+    def __init__(self, lattice: Lattice, hashes: np.ndarray, logs: np.ndarray) -> None:
+        self.lattice, self.hashes, self.logs = lattice, hashes, logs
+
+    def words(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The log-probabilities of distinct words with sorted hashes h."""
+        place = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
+        known = self.hashes[place] == h if len(self.hashes) else np.zeros(len(h), bool)
+        out = np.where(known, self.logs[place], 0.0) if len(self.hashes) else np.zeros(len(h))
+        new = np.flatnonzero(~known)
+        out[new] = self.lattice.words(data, starts[new], ends[new])
+        if len(self.hashes) > REMEMBERED:
+            self.hashes, self.logs = h, out.copy()
+        else:
+            at = np.searchsorted(self.hashes, h[new])
+            self.hashes, self.logs = np.insert(self.hashes, at, h[new]), np.insert(self.logs, at, out[new])
+        return out
+
+
 def _powers(n: int) -> np.ndarray:
     steps = np.full(n, tables()[2], dtype=np.uint64)
     steps[0] = 1
@@ -247,13 +298,23 @@ def learn(words: DataFrame, path: str) -> Lattice:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             now = shared.value
             counts = np.zeros(len(now.logs))
-            for batch in batches:
-                column = batch.column("word").cast(pa.large_binary())
+
+            def add(parts: list[pa.Array]) -> None:
+                column = pa.concat_arrays(parts).cast(pa.large_binary())
                 offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
                 data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
                 for index, matrix in by_length(data, offsets[:-1], offsets[1:]):
                     if matrix.shape[1] <= TOGETHER:
                         now.expect(matrix, np.ones(len(index)), counts)
+
+            held: list[pa.Array] = []
+            for batch in batches:
+                held.append(batch.column("word"))
+                if sum(map(len, held)) >= WORDS_AT_ONCE:
+                    add(held)
+                    held = []
+            if held:
+                add(held)
             some = np.flatnonzero(counts)
             yield pa.record_batch([pa.array(some), pa.array(counts[some])], names=["piece", "n"])
 
@@ -289,13 +350,14 @@ def lattice_scores(docs: DataFrame, training: Column, path: str | None = None) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, top_hashes, top_counts = shared.value
+        met = Remembered(lattice, np.zeros(0, np.uint64), np.zeros(0))
         for batch in slices(batches):
             data, bounds = column_bytes(batch.column("text"))
             starts, ends, first = word_spans(data, bounds)
             rows = batch.num_rows
             owner = np.repeat(np.arange(rows), np.diff(first))
             h, at, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-            logs = lattice.words(data, starts[at], ends[at])
+            logs = met.words(h, data, starts[at], ends[at])
             signed = h.view(np.int64)
             place = np.minimum(np.searchsorted(top_hashes, signed), max(len(top_hashes) - 1, 0))
             hit = top_hashes[place] == signed if len(top_hashes) else np.zeros(len(h), bool)
