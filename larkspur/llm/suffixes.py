@@ -6,7 +6,7 @@ picked it, in a row. Segments meet by their anchor's hash; what meets nothing ca
 segment that occurs twice repeats as a whole.
 
 Suffix arrays. The distinct segments that meet others are put together, in tasks by their anchors' hashes, and sorted in two
-stages: only suffixes smaller than their successors are sorted directly, by comparing words of eight bytes; the others
+stages: only suffixes smaller than their successors are sorted directly, by comparing words of packed symbols; the others
 follow in one scan over the buckets of first bytes, from each sorted suffix to the one before it. The common prefixes of
 neighbours in the array tell which strings repeat.
 
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,56 +32,55 @@ from larkspur.llm.text import byte_hashes, column_bytes, slices, splitmix
 
 LENGTH, GRAM = 200, 50
 #: Segments of one anchor that are sorted together at most; bytes sorted together, about.
-PART, SORTED_BYTES = 4000, 1 << 20
+PART, SORTED_BYTES = 1500, 1 << 18
 
 
 def least_places(h: np.ndarray, width: int) -> np.ndarray:
-    """For every window of so many consecutive values the place of its first least one."""
+    """For every window of so many consecutive values the place of its least one.
+
+    Values are compared by their high bits, and equal ones by place, the first counting as less: the low bits hold the place.
+    """
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
     blocks = -(-len(h) // width)
-    padded = np.full(blocks * width, np.iinfo(np.uint64).max, dtype=np.uint64)
-    padded[: len(h)] = h
-    grid = padded.reshape(blocks, width)
+    bits = np.uint64(max(1, int(blocks * width).bit_length()))
+    keys = np.full(blocks * width, np.iinfo(np.uint64).max, dtype=np.uint64)
+    keys[: len(h)] = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64)
+    grid = keys.reshape(blocks, width)
     head = np.minimum.accumulate(grid, axis=1).ravel()
     tail = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(tail[:n], head[width - 1 : width - 1 + n])
-    # the first place of the least value at or after each window's begin
-    starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1]) if n > 1 else np.zeros(1, np.int64)
-    out = np.empty(n, dtype=np.int64)
-    hits = np.flatnonzero(np.isin(h, least[starts]))
-    order = np.lexsort((hits, h[hits]))
-    keys, places = h[hits][order], hits[order]
-    # by (value, place): the first entry not before (least, window)
-    rank = np.searchsorted(keys, least, side="left")
-    stop = np.searchsorted(keys, least, side="right")
-    single = stop - rank == 1
-    out[single] = places[rank[single]]
-    for i in np.flatnonzero(~single).tolist():
-        at = rank[i] + np.searchsorted(places[rank[i] : stop[i]], i)
-        out[i] = places[at]
-    return out
-
-
-def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text: the begin and number of each segment's strings, its anchor's hash and its own."""
-    empty = np.zeros(0, dtype=np.int64)
-    if len(data) < LENGTH:
-        return empty, empty, empty.view(np.uint64), empty.view(np.uint64)
-    grams = byte_hashes(data, np.arange(len(data) - GRAM + 1), np.full(len(data) - GRAM + 1, GRAM))
-    anchor = least_places(grams, LENGTH - GRAM + 1)
-    first = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1])
+    return (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
+def segments(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of texts one after another: each segment's text, first string there and number of strings, its anchor's hash and its own."""
+    sizes = np.diff(bounds)
+    strings = np.maximum(sizes - LENGTH + 1, 0)
+    if not strings.any():
+        empty = np.zeros(0, dtype=np.int64)
+        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
+    starts = np.arange(len(data) - GRAM + 1)
+    grams = byte_hashes(data, starts, np.full(len(starts), GRAM))
+    places = least_places(grams, LENGTH - GRAM + 1)
+    offsets = np.concatenate([[0], np.cumsum(strings)])
+    owner = np.repeat(np.arange(len(sizes)), strings)
+    begin = np.repeat(bounds[:-1] - offsets[:-1], strings) + np.arange(offsets[-1])
+    anchor = places[begin]
+    new = np.ones(len(anchor), dtype=bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(anchor)))
-    at = anchor[first]
-    own = byte_hashes(data, first, count + LENGTH - 1)
-    return first, count, grams[at], splitmix(own ^ ((at - first).astype(np.uint64) << np.uint64(32)))
+    at, begin, owner = anchor[first], begin[first], owner[first]
+    own = byte_hashes(data, begin, count + LENGTH - 1)
+    return owner, begin - bounds[owner], count, grams[at], splitmix(own ^ ((at - begin).astype(np.uint64) << np.uint64(32)))
 
 
 def two_stage_order(text: np.ndarray, depth: int) -> np.ndarray:
     """The suffix array of text (small non-negative integers), exact up to depth; its last value must be a least one.
 
-    Stage one sorts the suffixes that are smaller than their successors, by words of eight symbols. Stage two goes through
+    Stage one sorts the suffixes that are smaller than their successors, by words of as many symbols as fit in 63 bits. Stage two goes through
     the buckets of first symbols in order: whatever suffix is met puts the one before it, if that is larger than its
     successor, at the next free place of its bucket's front.
     """
@@ -93,15 +93,17 @@ def two_stage_order(text: np.ndarray, depth: int) -> np.ndarray:
     change = np.append(np.flatnonzero(later), n - 1)
     ends = change[np.searchsorted(change, np.arange(n - 1))] if n > 1 else change[:0]
     rises[:-1] = np.where(ends < n - 1, less[np.minimum(ends, n - 2)] if n > 1 else True, False)
-    small = text.astype(np.uint64)
-    padded = np.concatenate([small, np.zeros(depth + 16, dtype=np.uint64)])
-    word = np.zeros(n + depth + 8, dtype=np.uint64)
-    for k in range(7):
-        word |= padded[k : k + len(word)] << np.uint64(9 * (6 - k))
+    used, small = np.unique(text, return_inverse=True)
+    width = max(1, int(len(used) - 1).bit_length())
+    step_size = 63 // width
+    padded = np.concatenate([small.astype(np.uint64), np.zeros(depth + 2 * step_size, dtype=np.uint64)])
+    word = np.zeros(n + depth + step_size, dtype=np.uint64)
+    for k in range(step_size):
+        word = (word << np.uint64(width)) | padded[k : k + len(word)]
     order = np.flatnonzero(rises)
     order = order[np.argsort(word[order], kind="stable")]
     group = np.concatenate([[0], np.cumsum(word[order][1:] != word[order][:-1])]) if len(order) else order
-    for at in range(7, depth + 1, 7):
+    for at in range(step_size, depth + 1, step_size):
         sizes = np.bincount(group) if len(group) else np.zeros(0, np.int64)
         tied = sizes[group] > 1 if len(group) else np.zeros(0, bool)
         if not tied.any():
@@ -219,12 +221,9 @@ def _segments_of(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            data, bounds = column_bytes(batch.column("text"))
-            keys, out = batch.column("key").to_numpy(), []
-            for key, a, b in zip(keys, bounds[:-1], bounds[1:], strict=True):
-                first, n, anchor, own = segments(data[a:b])
-                out.append((np.full(len(first), key), anchor.view(np.int64), own.view(np.int64), first.astype(np.int32), n.astype(np.int32)))
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["key", "anchor", "own", "first", "n"])
+            owner, first, n, anchor, own = segments(*column_bytes(batch.column("text")))
+            keys = batch.column("key").to_numpy()[owner]
+            yield pa.record_batch([pa.array(x) for x in (keys, anchor.view(np.int64), own.view(np.int64), first.astype(np.int32), n.astype(np.int32))], names=["key", "anchor", "own", "first", "n"])
 
     return docs.mapInArrow(run, "key long, anchor long, own long, first int, n int")
 
@@ -308,17 +307,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                raw = text.encode()
-                edges = np.zeros(len(raw) + 1, dtype=np.int64)
-                for s in spans or ():
-                    edges[s["a"]] += 1
-                    edges[s["b"]] -= 1
-                gone = np.cumsum(edges)[:-1] > 0
-                kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
-                out.append((len(raw), int(gone.sum()), len(runs(gone)), kept))
-            columns = zip(*out, strict=True)
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            data, bounds = column_bytes(batch.column("text"))
+            spans = batch.column("spans")
+            begin = np.repeat(bounds[:-1], np.asarray(pc.fill_null(pc.list_value_length(spans), 0)))
+            flat = spans.flatten()
+            edges = np.bincount(begin + flat.field("a").to_numpy(), minlength=len(data) + 1) - np.bincount(begin + flat.field("b").to_numpy(), minlength=len(data) + 1)
+            gone = np.cumsum(edges)[:-1] > 0
+            removed = np.concatenate([[0], np.cumsum(gone)])[bounds]
+            starts = gone.copy()
+            starts[1:] &= ~gone[:-1]
+            heads = bounds[:-1][bounds[:-1] < bounds[1:]]
+            starts[heads] = gone[heads]
+            begun = np.concatenate([[0], np.cumsum(starts)])[bounds]
+            kept = data[~gone]
+            offsets = (bounds - removed).astype(np.int32)
+            whole = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept))])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(np.diff(removed)), pa.array(np.diff(begun)), whole], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text looked at at once; a single longer text is one slice.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
