@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions import scalars
 from larkspur.operators import mutate as M
 from larkspur.operators.find import FindOptions, count, distinct, find, find_one, lookup, merge_all, merge_any
 from larkspur.sources.document import document_column, find_documents
@@ -413,6 +414,22 @@ def insert_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.insert_many(table(spark, sf_dir, "region"), new, "r_regionkey")
 
 
+# Scalar functions
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000 AS ms, make_timestamp(epoch_us(ts) // 1000 * 1000) AS at FROM events WHERE event_type = 'error'")
+def scalar_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = find(table(spark, sf_dir, "events"), {"event_type": "error"}, FindOptions(columns=["ts"]), "event_id")
+    ms = scalars.millis(F.col("ts").cast("timestamp"))
+    return e.select("event_id", ms.alias("ms"), scalars.datetime(ms).cast("timestamp_ntz").alias("at"))
+
+
+@query("SELECT p_partkey, lower(hex(encode(p_name))) AS hex, octet_length(encode(p_name)) AS n FROM part")
+def scalar_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = scalars.binary(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.hex_of(raw).alias("hex"), scalars.length_of(raw).cast("long").alias("n"))
+
+
 # Expiry
 
 
