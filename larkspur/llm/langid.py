@@ -30,8 +30,8 @@ from larkspur.llm.text import directory, slices, splitmix
 
 ORDER = 4
 TRAIN_DOCS = 2000
-#: Deviations from which a document is rejected.
-FAR = 8.0
+#: Deviations from which a document is rejected; texts that mix two known languages lie below, unknown languages above.
+FAR = 16.0
 #: Characters that count at most in the score's certainty.
 CERTAIN = 60
 _BLANK = 32
