@@ -82,4 +82,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators hold models, hashes or searches that SQL has no words for; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (SELECT x, y FROM pairs WHERE 100 * c >= 90 * (na + nb - c)),
+both_ways AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+reach(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.y FROM reach r JOIN both_ways l ON l.x = r.b),
+components AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a),
+links AS (SELECT x AS doc_id, count(*) AS n FROM both_ways GROUP BY x),
+sizes AS (SELECT g, count(*) AS n FROM s GROUP BY g)
+SELECT s.doc_id, len(s.g) AS n_shingles, c.component_id, coalesce(l.n, 0) AS n_links, CASE WHEN len(s.g) = 0 THEN 1 ELSE z.n END AS class_size
+FROM s JOIN components c USING (doc_id) LEFT JOIN links l USING (doc_id) JOIN sizes z ON s.g = z.g
+""",
+}
