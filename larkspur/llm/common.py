@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from larkspur.session import cut, ensure_checkpoint_dir
 
-__all__ = ["arrow_rows", "cut", "remainder", "stash", "table"]
+__all__ = ["arrow_rows", "cut", "remainder", "sent", "stash", "table"]
 
 #: Rows of an Arrow batch at most, so that a batch of long texts fits in a Python worker.
 ARROW_ROWS = 1000
+#: Rows of a table of a few numbers up to which it is sent to the tasks instead of moving texts.
+SENT_ROWS = 500_000
 
 
 def arrow_rows(spark: SparkSession) -> None:
@@ -37,3 +39,8 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def sent(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, a materialised table of a few numbers a row, with the hint to send it to the tasks if it is small."""
+    return F.broadcast(df) if df.count() <= (SENT_ROWS if rows is None else rows) else df

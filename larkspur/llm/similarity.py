@@ -4,8 +4,8 @@ Documents with equal shingle sets are one class; all work is on classes. A pair
 least one of the first n - ceil(t * n) + 1 shingles of each, in any order common to all, and at least k of the first
 n - ceil(t * n) + k. The join uses this twice:
 
-* Across the corpus, blocking: a sixth of all shingles (by their hashes) is counted exactly and put first, the rarest of
-  it at the front, so that a prefix of shingles that occur nowhere else ends a document's part. What shares a prefix shingle
+* Across the corpus, blocking: a share of all shingles (by their hashes; a sixth at 90 percent, a third at 80) is counted
+  exactly and put first, the rarest of it at the front, so that a prefix of shingles that occur nowhere else ends a document's part. What shares a prefix shingle
   is gathered, by connected components, into families. Families are superset of everything that can link.
 * Within a family, the adaptive join: with the family's own shingle frequencies, every document lengthens its prefix to
   the k that has the least estimated cost of generating and verifying candidates, and a pair is verified only if it
@@ -28,14 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import arrow_rows, cut
+from larkspur.llm.common import arrow_rows, cut, sent
 from larkspur.llm.components import components
 from larkspur.llm.text import column_bytes, ngram_hashes, slices, splitmix, word_hashes
 
-#: The share of shingles that are counted across the corpus: one in so many.
-SAMPLED = 6
 #: Shingles in a block; shingles that are joined at once, about, when families are small.
-BLOCK_SHINGLES, BATCH_SHINGLES = 1_500_000, 300_000
+BLOCK_SHINGLES, BATCH_SHINGLES = 400_000, 200_000
 #: The longest extension of a prefix that is considered.
 LONGEST = 12
 
@@ -61,6 +59,11 @@ def digests(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return splitmix(total + np.diff(begin).astype(np.uint64)).view(np.int64)
 
 
+def counted_share(percent: int) -> int:
+    """One in so many shingles is counted across the corpus: enough to fill prefixes although some are shared."""
+    return max(1, 60 // max(1, 100 - percent))
+
+
 def _lists(values: np.ndarray, begin: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values))
 
@@ -77,7 +80,7 @@ def prepare(docs: DataFrame, words: int, percent: int) -> DataFrame:
             grams, begin = shingle_sets(batch.column("text"), words)
             n = np.diff(begin)
             room = n - (percent * n + 99) // 100 + 1
-            sampled = splitmix(grams) % np.uint64(SAMPLED) == 0
+            sampled = splitmix(grams) % share == 0
             counts = np.concatenate([[0], np.cumsum(sampled)])
             ends = counts[begin]
             left = ~sampled
@@ -91,15 +94,22 @@ def prepare(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 names=["doc_id", "n", "node", "room", "sampled", "rest"],
             )
 
+    share = np.uint64(counted_share(percent))
     arrow_rows(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, room long, sampled array<long>, rest array<long>")
 
 
-def families(classes: DataFrame) -> DataFrame:
-    """node and family of the classes (node, room, sampled, rest) that share a prefix shingle with another class."""
+def families(rows: DataFrame) -> DataFrame:
+    """node and family of the classes that share a prefix shingle with another class, from rows (node, room, sampled, rest).
+
+    Rows of one class count once: a shingle's frequency is the number of classes that have it.
+    """
     tokens = F.concat(F.transform("sampled", lambda t: F.struct(t.alias("token"), F.lit(True).alias("counted"))), F.transform("rest", lambda t: F.struct(t.alias("token"), F.lit(False).alias("counted"))))
-    postings = classes.select("node", (F.col("room") - F.size("sampled")).alias("spare"), F.explode(tokens).alias("t")).select("node", "spare", "t.token", "t.counted")
-    shared = postings.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    postings = rows.select("node", (F.col("room") - F.size("sampled")).cast("int").alias("spare"), F.explode(tokens).alias("t")).select("node", "spare", "t.token", "t.counted")
+    by_node = Window.partitionBy("token").orderBy("node")
+    numbered = postings.withColumn("nth", F.dense_rank().over(by_node)).withColumn("before", F.lag("node").over(by_node))
+    counted = numbered.withColumn("df", F.max("nth").over(Window.partitionBy("token")))
+    shared = counted.where("df > 1 AND (before IS NULL OR before <> node)")
     # a class's prefix: its unique counted shingles, then the shared counted ones by frequency, then the rest by hash
     entry = F.struct((~F.col("counted")).alias("late"), F.when(F.col("counted"), F.col("df")).otherwise(0).alias("df"), "token")
     ranked = shared.groupBy("node").agg(F.first("spare").alias("spare"), F.sum(F.col("counted").cast("int")).alias("counted"), F.array_sort(F.collect_list(entry)).alias("e"))
@@ -235,10 +245,8 @@ def similarity_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     rows = prepare(docs, words, percent)
     light = cut(rows.select("doc_id", "n", "node"))
-    classes = cut(
-        rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("room").alias("room"), F.first("sampled").alias("sampled"), F.first("rest").alias("rest"))
-    )
-    family = cut(families(classes))
+    classes = cut(light.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.first("n").alias("n")))
+    family = cut(families(rows.where("n > 0").select("node", "room", "sampled", "rest")))
     weights = family.join(classes.select("node", "least", "size", "n"), "node")
     totals = weights.groupBy("family").agg(F.sum("n").alias("total"), F.count("*").alias("c")).where("c > 1")
     parts = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
@@ -250,7 +258,7 @@ def similarity_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.col("least").alias("__least"), "node", "size", "n", "block", F.xxhash64("family", "task.low", "task.high").alias("key"),
         F.when(F.col("parts") == 1, 0).when(F.col("task.low") == F.col("task.high"), 1).otherwise(2).alias("kind"),
     )
-    members = docs.select("doc_id", "text").join(placed, F.col("doc_id").eqNullSafe(F.col("__least")))
+    members = docs.select("doc_id", "text").join(sent(cut(placed)), F.col("doc_id").eqNullSafe(F.col("__least")))
     found = cut(join_blocks(members, words, percent))
     labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -272,6 +280,9 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
     Rows that are equal in doc_id and text become one. Rows without doc_id can't be told apart by what links them, and stay.
     """
-    drop = similarity_join(docs, words, percent).where("component_id < doc_id").select(F.col("doc_id").alias("__drop")).distinct()
-    kept = docs.join(drop, F.col("doc_id") == F.col("__drop"), "left_anti")
+    found = cut(similarity_join(docs, words, percent))
+    drop = found.where("component_id < doc_id").select(F.col("doc_id").alias("__drop")).distinct()
+    kept = docs.join(sent(cut(drop)), F.col("doc_id") == F.col("__drop"), "left_anti")
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
     return kept.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
