@@ -22,7 +22,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut
+from larkspur.llm.common import cut, sent
 
 BITS = 64
 
@@ -122,8 +122,8 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     elif rows.count() != total["n"]:
         source = source.dropDuplicates(["doc_id"])
     source = source.select(F.col("doc_id").alias("source_id"), F.col("text").alias("source"))
-    owners = order.select(F.col("doc_id").alias("owner"), "n_most", "next_id")
-    heads = owners.join(source, F.col("source_id").eqNullSafe(F.col("next_id"))).select("owner", "next_id", F.expr("substring(source, 1, cast(floor(n_most / 2) as int))").alias("head"))
+    owners = cut(order.select(F.col("doc_id").alias("owner"), "n_most", "next_id"))
+    heads = sent(owners).join(source, F.col("source_id").eqNullSafe(F.col("next_id"))).select("owner", "next_id", F.expr("substring(source, 1, cast(floor(n_most / 2) as int))").alias("head"))
     kept = rows.select("doc_id", "n_chars", "hash", F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 2) as int))").alias("front")).withColumn("uid", F.monotonically_increasing_id())
     edited = kept.join(heads, F.col("doc_id").eqNullSafe(F.col("owner"))).select("uid", "doc_id", "n_chars", "hash", "next_id", F.concat("front", F.substring(F.col("head"), F.lit(1), half)).alias("text"))
     keys = ["uid", "doc_id", "n_chars", "hash", "next_id", "edited_sha256"]
