@@ -217,15 +217,20 @@ _COVERED = "key long, a int, b int"
 
 
 def _segments_of(docs: DataFrame) -> DataFrame:
-    """key, anchor, own, first, n of all segments of docs (key, text)."""
+    """key, anchor, own, first, n, again of all segments of docs (key, text); equal ones in a row, as periodic texts have, are one with again > 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             owner, first, n, anchor, own = segments(*column_bytes(batch.column("text")))
+            new = np.ones(len(first), dtype=bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1])
+            at = np.flatnonzero(new)
+            again = np.diff(np.append(at, len(first))).astype(np.int32)
+            owner, first, n, anchor, own = owner[at], first[at], n[at], anchor[at], own[at]
             keys = batch.column("key").to_numpy()[owner]
-            yield pa.record_batch([pa.array(x) for x in (keys, anchor.view(np.int64), own.view(np.int64), first.astype(np.int32), n.astype(np.int32))], names=["key", "anchor", "own", "first", "n"])
+            yield pa.record_batch([pa.array(x) for x in (keys, anchor.view(np.int64), own.view(np.int64), first.astype(np.int32), n.astype(np.int32), again)], names=["key", "anchor", "own", "first", "n", "again"])
 
-    return docs.mapInArrow(run, "key long, anchor long, own long, first int, n int")
+    return docs.mapInArrow(run, "key long, anchor long, own long, first int, n int, again int")
 
 
 def _cut_out(docs: DataFrame) -> DataFrame:
@@ -281,10 +286,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     found = _segments_of(docs)
     anchor, same = Window.partitionBy("anchor"), Window.partitionBy("anchor", "own")
-    counted = found.withColumn("times", F.count("*").over(same)).withColumn("turn", F.row_number().over(same.orderBy("key", "first")))
-    met = counted.withColumn("all", F.count("*").over(anchor)).withColumn("fewest", F.min("times").over(anchor)).where("all > 1")
-    met = stash(met.select("key", "anchor", "first", "n", (F.col("times") == 1).alias("single"), ((F.col("fewest") == 1) & (F.col("turn") == 1)).alias("asked")))
-    whole = met.where("NOT single").select("key", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + LENGTH).alias("b"))
+    counted = found.withColumn("times", F.sum("again").over(same)).withColumn("turn", F.row_number().over(same.orderBy("key", "first")))
+    met = counted.withColumn("all", F.sum("again").over(anchor)).withColumn("fewest", F.min("times").over(anchor)).where("all > 1")
+    met = stash(met.select("key", "anchor", "first", "n", "again", (F.col("times") == 1).alias("single"), ((F.col("fewest") == 1) & (F.col("turn") == 1)).alias("asked")))
+    whole = met.where("NOT single").select("key", F.col("first").alias("a"), (F.col("first") + F.col("n") * F.col("again") - 1 + LENGTH).alias("b"))
     wanted = met.where("asked").groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "n", "single")).alias("wanted"))
     owners = docs.groupBy("key").agg(F.min("row").alias("row"))
     chosen = wanted.join(owners, "key")
