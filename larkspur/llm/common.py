@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from larkspur.session import cut, ensure_checkpoint_dir
 
-__all__ = ["arrow_rows", "cut", "remainder", "sent", "stash", "table"]
+__all__ = ["arrow_rows", "cut", "fewer", "remainder", "sent", "stash", "table"]
 
 #: Rows of an Arrow batch at most, so that a batch of long texts fits in a Python worker.
 ARROW_ROWS = 1000
 #: Rows of a table of a few numbers up to which it is sent to the tasks instead of moving texts.
-SENT_ROWS = 500_000
+SENT_ROWS = 300_000
 
 
 def arrow_rows(spark: SparkSession) -> None:
@@ -44,3 +44,16 @@ def stash(df: DataFrame) -> DataFrame:
 def sent(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df, a materialised table of a few numbers a row, with the hint to send it to the tasks if it is small."""
     return F.broadcast(df) if df.count() <= (SENT_ROWS if rows is None else rows) else df
+
+
+def fewer(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """df in a quarter of its partitions, but enough for every core twice: small rows of many tasks then make few files.
+
+    Without a number, df's partitions are those of its scan; a plan that shuffles stays as it is.
+    """
+    if partitions is None:
+        if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+            return df
+        partitions = df.rdd.getNumPartitions()
+    wanted = max(2 * df.sparkSession.sparkContext.defaultParallelism, partitions // 4)
+    return df.coalesce(wanted) if wanted < partitions else df

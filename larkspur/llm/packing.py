@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import arrow_rows, cut
+from larkspur.llm.common import arrow_rows, cut, fewer
 from larkspur.llm.text import slices
 
 #: Pieces in a bucket at most, about; islands of a bucket; packings in an island; generations of an epoch.
@@ -207,7 +207,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, end_id: int
 
     tokenizer is the path of a tokenizer file that every executor can read.
     """
-    cutting = cut(pieces(docs, tokenizer or default_tokenizer(), end_id, capacity).withColumn("uid", F.monotonically_increasing_id()))
+    cutting = cut(fewer(pieces(docs, tokenizer or default_tokenizer(), end_id, capacity)).withColumn("uid", F.monotonically_increasing_id()))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     full = cutting.where(F.col("length") == capacity).select(*columns, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = cutting.where(F.col("length") < capacity)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import arrow_rows, cut
+from larkspur.llm.common import arrow_rows, cut, fewer
 from larkspur.llm.text import column_bytes, slices, span_hashes, word_spans
 
 FEATURES = 256
@@ -211,7 +211,7 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id and score of every row of docs (doc_id, text), learned from labels (doc_id, label)."""
-    stats = cut(with_statistics(docs))
+    stats = cut(fewer(with_statistics(docs)))
     known = labels.where("label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     model = train(stats.join(known, "doc_id").select("x", "label"))
     return score(stats, model)

@@ -6,7 +6,8 @@ n - ceil(t * n) + k. The join uses this twice:
 
 * Across the corpus, blocking: a share of all shingles (by their hashes; a sixth at 90 percent, a third at 80) is counted
   exactly and put first, the rarest of it at the front, so that a prefix of shingles that occur nowhere else ends a document's part. What shares a prefix shingle
-  is gathered, by connected components, into families. Families are superset of everything that can link.
+  is gathered, by connected components, into families, which hold everything that can link. Large families are made
+  anew with all of their shingles counted.
 * Within a family, the adaptive join: with the family's own shingle frequencies, every document lengthens its prefix to
   the k that has the least estimated cost of generating and verifying candidates, and a pair is verified only if it
   shares as many prefix shingles as the smaller k of the two asks for. Verification counts the exact intersection.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import arrow_rows, cut, sent
+from larkspur.llm.common import arrow_rows, cut, fewer, sent
 from larkspur.llm.components import components
 from larkspur.llm.text import column_bytes, ngram_hashes, slices, splitmix, word_hashes
 
@@ -68,11 +69,11 @@ def _lists(values: np.ndarray, begin: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values))
 
 
-def prepare(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def prepare(docs: DataFrame, words: int, percent: int, one_in: int) -> DataFrame:
     """doc_id, n, node, room, sampled, rest for every row: the set's size and hash, and its shingles for blocking.
 
-    room is the length of the one-match prefix; sampled are the set's shingles of the counted share; rest are the
-    first others by hash, as many as the prefix can need.
+    room is the length of the one-match prefix; sampled are the set's shingles of the counted share, one in so many; rest are
+    the first others by hash, as many as the prefix can need.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +95,7 @@ def prepare(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 names=["doc_id", "n", "node", "room", "sampled", "rest"],
             )
 
-    share = np.uint64(counted_share(percent))
+    share = np.uint64(one_in)
     arrow_rows(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, room long, sampled array<long>, rest array<long>")
 
@@ -122,6 +123,23 @@ def families(rows: DataFrame) -> DataFrame:
     return components(prefixes.join(stars, "token").select(F.col("node").alias("a"), "b")).select("node", F.col("label").alias("family"))
 
 
+def refined(docs: DataFrame, words: int, percent: int, family: DataFrame, classes: DataFrame) -> DataFrame:
+    """The families with those of more than a block made anew from the frequencies of all their shingles.
+
+    Among the members of large families every shingle is counted, so that a member's own shingles fill its prefix
+    and it leaves the family, unless few of them are its own.
+    """
+    sizes = family.join(classes.select("node", "least", "n"), "node")
+    large = sizes.groupBy("family").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_SHINGLES).select("family")
+    members = cut(sizes.join(large, "family").select("node", "least"))
+    if members.isEmpty():
+        return family
+    texts = docs.select("doc_id", "text").join(sent(members.select("least").distinct()), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
+    rows = prepare(texts, words, percent, 1).join(sent(members.select("node")), "node", "left_semi")
+    again = families(rows.select("node", "room", "sampled", "rest"))
+    return cut(family.join(large, "family", "left_anti").select("node", "family").unionByName(again))
+
+
 def adaptive_links(grams: np.ndarray, begin: np.ndarray, percent: int, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """Each set's index with the later ones (in an order by size) that it links to; sets of one side are not compared."""
     n = np.diff(begin)
@@ -243,10 +261,11 @@ def similarity_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Documents link at 100 * intersection >= percent * union of their sets of words-word shingles.
     """
-    rows = prepare(docs, words, percent)
-    light = cut(rows.select("doc_id", "n", "node"))
+    rows = prepare(docs, words, percent, counted_share(percent))
+    light = cut(fewer(rows.select("doc_id", "n", "node")))
     classes = cut(light.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.first("n").alias("n")))
     family = cut(families(rows.where("n > 0").select("node", "room", "sampled", "rest")))
+    family = refined(docs, words, percent, family, classes)
     weights = family.join(classes.select("node", "least", "size", "n"), "node")
     totals = weights.groupBy("family").agg(F.sum("n").alias("total"), F.count("*").alias("c")).where("c > 1")
     parts = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import arrow_rows, stash
+from larkspur.llm.common import arrow_rows, fewer, stash
 from larkspur.llm.text import byte_hashes, column_bytes, slices, splitmix
 
 LENGTH, GRAM = 200, 50
@@ -288,7 +288,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     anchor, same = Window.partitionBy("anchor"), Window.partitionBy("anchor", "own")
     counted = found.withColumn("times", F.sum("again").over(same)).withColumn("turn", F.row_number().over(same.orderBy("key", "first")))
     met = counted.withColumn("all", F.sum("again").over(anchor)).withColumn("fewest", F.min("times").over(anchor)).where("all > 1")
-    met = stash(met.select("key", "anchor", "first", "n", "again", (F.col("times") == 1).alias("single"), ((F.col("fewest") == 1) & (F.col("turn") == 1)).alias("asked")))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = stash(fewer(met.select("key", "anchor", "first", "n", "again", (F.col("times") == 1).alias("single"), ((F.col("fewest") == 1) & (F.col("turn") == 1)).alias("asked")), partitions))
     whole = met.where("NOT single").select("key", F.col("first").alias("a"), (F.col("first") + F.col("n") * F.col("again") - 1 + LENGTH).alias("b"))
     wanted = met.where("asked").groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "n", "single")).alias("wanted"))
     owners = docs.groupBy("key").agg(F.min("row").alias("row"))
