@@ -130,7 +130,7 @@ def refined(docs: DataFrame, words: int, percent: int, family: DataFrame, classe
     and it leaves the family, unless few of them are its own.
     """
     sizes = family.join(classes.select("node", "least", "n"), "node")
-    large = sizes.groupBy("family").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_SHINGLES).select("family")
+    large = sent(cut(sizes.groupBy("family").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_SHINGLES).select("family")))
     members = cut(sizes.join(large, "family").select("node", "least"))
     if members.isEmpty():
         return family
@@ -267,9 +267,9 @@ def similarity_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     family = cut(families(rows.where("n > 0").select("node", "room", "sampled", "rest")))
     family = refined(docs, words, percent, family, classes)
     weights = family.join(classes.select("node", "least", "size", "n"), "node")
-    totals = weights.groupBy("family").agg(F.sum("n").alias("total"), F.count("*").alias("c")).where("c > 1")
-    parts = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
-    member = weights.join(totals.select("family", parts.alias("parts")), "family")
+    # at most one family for every BLOCK_SHINGLES of the corpus is in this table
+    split = weights.groupBy("family").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_SHINGLES).select("family", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("p"))
+    member = weights.join(sent(cut(split)), "family", "left").withColumn("parts", F.coalesce("p", F.lit(1)))
     # a family of one block is one task; of more, a task joins each block with itself and each pair of blocks
     block = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(0).cast("int")
     tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))
