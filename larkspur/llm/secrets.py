@@ -111,15 +111,16 @@ def fit(docs: DataFrame, base: DataFrame) -> DataFrame:
     return cut(train(ordinary.unionByName(secret)))
 
 
-def secret_spans(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+def secret_spans(docs: DataFrame, keep: tuple[str, ...], learned: DataFrame | None = None) -> DataFrame:
     """keep, uid, kind, start, end of every span in docs; a row without spans has one with null kind.
 
-    Markov spans are added only where no rule's span overlaps them.
+    Markov spans are added only where no rule's span overlaps them. The identifier model is learned from the rows of
+    learned (docs, if None), which hold docs' rows and all others that the model is to know.
     """
     found = cut(candidates(docs, keep))
     base = found.where("kind IS NOT NULL AND kind <> 'markov'")
     tokens = found.where("kind = 'markov'").withColumnRenamed("value", "tok")
-    judged = random_tokens(tokens.select("uid", "kind", "start", "end", "tok"), fit(docs, base))
+    judged = random_tokens(tokens.select("uid", "kind", "start", "end", "tok"), fit(docs if learned is None else learned, base))
     taken = base.select("uid", F.col("start").alias("s"), F.col("end").alias("e"))
     fresh = judged.join(taken, (judged["uid"] == taken["uid"]) & (F.col("start") < F.col("e")) & (F.col("end") > F.col("s")), "left_anti").select("uid", "start", F.lit("markov").alias("kind"), F.lit(True).alias("fresh"))
     spans = found.join(fresh, ["uid", "start", "kind"], "left")
@@ -145,14 +146,15 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with every span of its texts replaced by mask and n_chars set anew; all other columns as they were.
 
-    Only rows in which a rule or a long token matches are joined with the spans; the spans of equal texts are equal.
+    Only rows in which a rule or a long token matches are scanned and joined with the spans, by the model that all rows of
+    docs teach; the spans of equal texts are equal.
     """
     suspect = F.lit(False)
     for _, pattern, _, _ in RULES:
         suspect = suspect | F.col("text").rlike(pattern)
     suspect = F.coalesce(suspect, F.lit(False))
     rows = docs.where(suspect).withColumn("__key", F.sha2("text", 256))
-    spans = secret_spans(rows, ("__key",)).where("kind IS NOT NULL")
+    spans = secret_spans(rows, ("__key",), docs).where("kind IS NOT NULL")
     lists = spans.groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 

@@ -57,6 +57,25 @@ def test_redact_keeps_rows_and_columns(spark):
     assert got[1].text == "a [SECRET] b" and got[1].n_chars == 12 and got[2].text is None and got[3].text == "clean"
 
 
+def test_redact_masks_what_scan_finds(spark):
+    rng = random.Random(3)
+    random_text = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    words = [c * 4 for c in string.ascii_letters + string.digits]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(300))) for i in range(60)]
+    rows += [(100 + i, f"token={random_text(24)} x") for i in range(40)]
+    rows += [(200, f"look at {random_text(40)} here"), (201, "look at AAAAbbbbCCCCdddd2222eeeeFFFF here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    for r in secrets.scan(docs).collect():
+        text = dict(rows)[r.doc_id]
+        for one in reversed(list(filter(None, r.spans.split(",")))):
+            _, start, end = one.split(":")
+            text = text[: int(start)] + "[SECRET]" + text[int(end) :]
+        want[r.doc_id] = text
+    assert want[200] == "look at [SECRET] here" and want[201] == dict(rows)[201]
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == want
+
+
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
