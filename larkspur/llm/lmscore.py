@@ -33,6 +33,8 @@ from larkspur.llm.text import column_bytes, directory, slices, span_hashes, spli
 BROADCAST_WORDS = 1 << 17
 #: Bytes of a piece at most, with the mark as one; words up to so many bytes are summed together.
 LONGEST, TOGETHER = 14, 40
+#: Ends of pieces in one long word that are looked up at once.
+BAND = 1 << 14
 #: Words that a task remembers at most, about.
 REMEMBERED = 2_000_000
 #: Bytes of distinct words that are summed at once.
@@ -136,24 +138,53 @@ class Lattice:
             out[index] = self.long(matrix[0]) if matrix.shape[1] > TOGETHER else self.forward(matrix)[-1]
         return out
 
+    def _ending(self, word: np.ndarray, low: int) -> np.ndarray:
+        """For each of the next BAND ends after low, a row of the pieces' indexes by their bytes, -1 where there is none."""
+        high = min(len(word), low + BAND)
+        first = max(low + 1 - LONGEST, 0)
+        values, powers = tables()[0][word[first:high]], _powers(LONGEST)
+        found = np.full((high - low, LONGEST), -1, dtype=np.int64)
+        for size in range(1, min(high, LONGEST) + 1):
+            a = max(low + 1 - size, 0)
+            h = np.zeros(high - size + 1 - a, dtype=np.uint64)
+            for k in range(size):
+                h += values[a - first + k : a - first + k + len(h)] * powers[k]
+            found[len(found) - len(h) :, size - 1] = self.find(splitmix(h ^ np.uint64(size)))
+        return found
+
+    def _prefixes(self, word: np.ndarray) -> np.ndarray:
+        """The log-probability of each prefix of one long word, led by as many impossible ones as a piece is long."""
+        padded = np.append(self.logs, -np.inf)
+        alpha = np.full(len(word) + 1 + LONGEST, -np.inf)
+        alpha[LONGEST] = 0
+        for low in range(0, len(word), BAND):
+            for j, logs in enumerate(padded[self._ending(word, low)], low + 1):
+                terms = alpha[j : j + LONGEST][::-1] + logs
+                top = terms.max()
+                alpha[j + LONGEST] = top + np.log(np.exp(terms - top).sum())
+        return alpha
+
     def long(self, word: np.ndarray) -> float:
-        """The log-probability of one long word, in memory that a piece's length bounds."""
-        powers = _powers(LONGEST)
-        values = tables()[0][word]
-        n = len(word)
-        found = []
-        for size in range(1, LONGEST + 1):
-            h = np.zeros(max(0, n - size + 1), dtype=np.uint64)
-            for k in range(size if len(h) else 0):
-                h += values[k : k + len(h)] * powers[k]
-            e = self.find(splitmix(h ^ np.uint64(size)))
-            found.append(np.where(e >= 0, self.logs[e], -np.inf))
-        alpha = [0.0]
-        for j in range(1, n + 1):
-            terms = [alpha[j - size] + found[size - 1][j - size] for size in range(1, min(j, LONGEST) + 1)]
-            top = max(terms)
-            alpha.append(top + np.log(sum(np.exp(t - top) for t in terms if t > top - 40)))
-        return alpha[n]
+        """The log-probability of one long word, in memory that does not grow with a piece's length."""
+        return float(self._prefixes(word)[-1])
+
+    def expect_long(self, word: np.ndarray, counts: np.ndarray) -> None:
+        """Add to counts the expected number of each piece in one long word."""
+        padded = np.append(self.logs, -np.inf)
+        alpha = self._prefixes(word)
+        beta = np.full(len(alpha), -np.inf)
+        beta[-1] = 0
+        back = np.arange(LONGEST)
+        for low in reversed(range(0, len(word), BAND)):
+            found = self._ending(word, low)
+            logs = padded[found]
+            for j in range(low + len(found), low, -1):
+                before = beta[j : j + LONGEST]
+                np.logaddexp(before, (beta[j + LONGEST] + logs[j - low - 1])[::-1], out=before)
+            ends = np.arange(low + 1, low + len(found) + 1)[:, None]
+            part = np.exp(alpha[ends + LONGEST - 1 - back] + logs + beta[ends + LONGEST] - alpha[-1])
+            there = found >= 0
+            counts += np.bincount(found[there], part[there], len(counts))
 
 
 def _log_sum(terms: list[np.ndarray], n: int) -> np.ndarray:
@@ -304,7 +335,9 @@ def learn(words: DataFrame, path: str) -> Lattice:
                 offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
                 data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
                 for index, matrix in by_length(data, offsets[:-1], offsets[1:]):
-                    if matrix.shape[1] <= TOGETHER:
+                    if matrix.shape[1] > TOGETHER:
+                        now.expect_long(matrix[0], counts)
+                    else:
                         now.expect(matrix, np.ones(len(index)), counts)
 
             held: list[pa.Array] = []

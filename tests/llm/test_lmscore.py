@@ -51,6 +51,27 @@ def test_expected_counts_of_a_word_cover_it_once():
     assert 2.0 <= counts.sum() <= 16.0
 
 
+def test_long_words_are_expected_as_short_ones(monkeypatch):
+    lattice = lmscore.vocabulary(lmscore.default_vocabulary())
+    raw = np.frombuffer(bytes([lmscore.MARK]) + "https://example.org/internationalization?ключевые=日本語の文章".encode(), np.uint8)
+    want = np.zeros(len(lattice.logs))
+    lattice.expect(raw[None, :], np.ones(1), want)
+    for band in (1 << 14, 7, 64):
+        monkeypatch.setattr(lmscore, "BAND", band)
+        got = np.zeros(len(lattice.logs))
+        lattice.expect_long(raw, got)
+        assert np.allclose(got, want, atol=1e-9)
+        assert math.isclose(lattice.long(raw), lattice.forward(raw[None, :])[-1][0], rel_tol=1e-9)
+
+
+def test_long_words_teach_the_scores(spark):
+    clause = "これは長い文章であり空白がひとつもない文字列です"
+    words = spark.createDataFrame([(k, (clause * k).encode()) for k in range(1, 200, 20)], "hash long, word binary")
+    before = lmscore.vocabulary(lmscore.default_vocabulary())
+    raw = np.frombuffer(bytes([lmscore.MARK]) + clause.encode(), np.uint8)
+    assert lmscore.learn(words, lmscore.default_vocabulary()).long(raw) > before.long(raw) + 1
+
+
 ROWS = [(1, "The cat sat on the mat"), (2, "the dog\tsat"), (3, None), (4, ""), (5, "zebra " * 3 + "the"), (6, "w" * 300 + " the"), (6, "the"), (7, "the cat")]
 
 
