@@ -5,7 +5,8 @@ word's begin, and beside them every whole word of the training documents and an
 all its segmentations, which the forward recursion computes in log space; since no piece crosses a word's begin, the sum
 factors by words.
 
-The vocabulary's own scores start the model. ROUNDS of expectation over all distinct training words give the pieces'
+The vocabulary is one of byte-pair merges and has no unigram scores: the ranks of its merges, taken as those of a Zipf
+law, start the model in their place. ROUNDS of expectation over all distinct training words give the pieces'
 expected counts, which the scores are set from: each word counts once, since the pieces have to spell the words that
 are rare or unseen. A whole word's weight is its count less DISCOUNT, and what is left goes to the spellings.
 
@@ -20,7 +21,7 @@ are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,10 @@ from larkspur.llm.common import arrow_rows, cut, fewer
 from larkspur.llm.text import column_bytes, directory, slices, span_hashes, splitmix, tables, word_spans
 
 BROADCAST_WORDS = 1 << 17
-#: Bytes of a piece at most, with the mark as one; words up to so many bytes are summed together.
-LONGEST, TOGETHER = 14, 40
+#: Bytes of the default vocabulary's longest piece, with the mark as one; a lattice has its own from its vocabulary.
+LONGEST = 25
+#: Words up to so many bytes are summed together.
+TOGETHER = 40
 #: Ends of pieces in one long word that are looked up at once.
 BAND = 1 << 14
 #: Words that a task remembers at most, about.
@@ -61,8 +64,12 @@ class Lattice:
 
     hashes: np.ndarray
     logs: np.ndarray
+    #: The lengths in bytes that pieces have: of those led by the mark, and of the others.
+    marked: tuple[int, ...]
+    inner: tuple[int, ...]
 
     def __post_init__(self) -> None:
+        self.longest = max(*self.marked, *self.inner)
         self.bits = 17
         self.directory = directory(self.hashes, self.bits)
         self.steps = int(np.diff(self.directory).max(initial=1))
@@ -89,17 +96,18 @@ class Lattice:
     def _edges(self, words: np.ndarray) -> dict[int, list[tuple[int, np.ndarray, np.ndarray]]]:
         """By each end: the begins of what stands before it, with the pieces' indexes and their log-probabilities."""
         n = words.shape[1]
-        powers = _powers(LONGEST)
+        powers = _powers(self.longest)
         columns = np.ascontiguousarray(tables()[0][words].T)
         edges: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {j: [] for j in range(1, n + 1)}
         padded = np.append(self.logs, -np.inf)
         for i in range(n):
-            running = np.zeros(len(words), dtype=np.uint64)
-            for j in range(i + 1, min(n, i + LONGEST) + 1):
-                running = running + columns[j - 1] * powers[j - 1 - i]
-                e = self.find(splitmix(running ^ np.uint64(j - i)))
+            sizes = np.array([size for size in (self.inner if i else self.marked) if i + size <= n], dtype=np.uint64)
+            longest = int(sizes[-1])
+            running = np.cumsum(columns[i : i + longest] * powers[:longest, None], axis=0, dtype=np.uint64)
+            h = splitmix(running[sizes.astype(np.int64) - 1] ^ sizes[:, None])
+            for size, e in zip(sizes.tolist(), self.find(h.ravel()).reshape(h.shape), strict=True):
                 if (e >= 0).any():
-                    edges[j].append((i, e, padded[e]))
+                    edges[i + size].append((i, e, padded[e]))
         return edges
 
     def forward(self, words: np.ndarray, edges: dict | None = None) -> np.ndarray:
@@ -141,10 +149,10 @@ class Lattice:
     def _ending(self, word: np.ndarray, low: int) -> np.ndarray:
         """For each of the next BAND ends after low, a row of the pieces' indexes by their bytes, -1 where there is none."""
         high = min(len(word), low + BAND)
-        first = max(low + 1 - LONGEST, 0)
-        values, powers = tables()[0][word[first:high]], _powers(LONGEST)
-        found = np.full((high - low, LONGEST), -1, dtype=np.int64)
-        for size in range(1, min(high, LONGEST) + 1):
+        first = max(low + 1 - self.longest, 0)
+        values, powers = tables()[0][word[first:high]], _powers(self.longest)
+        found = np.full((high - low, self.longest), -1, dtype=np.int64)
+        for size in range(1, min(high, self.longest) + 1):
             a = max(low + 1 - size, 0)
             h = np.zeros(high - size + 1 - a, dtype=np.uint64)
             for k in range(size):
@@ -155,13 +163,13 @@ class Lattice:
     def _prefixes(self, word: np.ndarray) -> np.ndarray:
         """The log-probability of each prefix of one long word, led by as many impossible ones as a piece is long."""
         padded = np.append(self.logs, -np.inf)
-        alpha = np.full(len(word) + 1 + LONGEST, -np.inf)
-        alpha[LONGEST] = 0
+        alpha = np.full(len(word) + 1 + self.longest, -np.inf)
+        alpha[self.longest] = 0
         for low in range(0, len(word), BAND):
             for j, logs in enumerate(padded[self._ending(word, low)], low + 1):
-                terms = alpha[j : j + LONGEST][::-1] + logs
+                terms = alpha[j : j + self.longest][::-1] + logs
                 top = terms.max()
-                alpha[j + LONGEST] = top + np.log(np.exp(terms - top).sum())
+                alpha[j + self.longest] = top + np.log(np.exp(terms - top).sum())
         return alpha
 
     def long(self, word: np.ndarray) -> float:
@@ -174,15 +182,15 @@ class Lattice:
         alpha = self._prefixes(word)
         beta = np.full(len(alpha), -np.inf)
         beta[-1] = 0
-        back = np.arange(LONGEST)
+        back = np.arange(self.longest)
         for low in reversed(range(0, len(word), BAND)):
             found = self._ending(word, low)
             logs = padded[found]
             for j in range(low + len(found), low, -1):
-                before = beta[j : j + LONGEST]
-                np.logaddexp(before, (beta[j + LONGEST] + logs[j - low - 1])[::-1], out=before)
+                before = beta[j : j + self.longest]
+                np.logaddexp(before, (beta[j + self.longest] + logs[j - low - 1])[::-1], out=before)
             ends = np.arange(low + 1, low + len(found) + 1)[:, None]
-            part = np.exp(alpha[ends + LONGEST - 1 - back] + logs + beta[ends + LONGEST] - alpha[-1])
+            part = np.exp(alpha[ends + self.longest - 1 - back] + logs + beta[ends + self.longest] - alpha[-1])
             there = found >= 0
             counts += np.bincount(found[there], part[there], len(counts))
 
@@ -260,7 +268,7 @@ def vocabulary(path: str) -> Lattice:
         piece = model.id_to_piece(i)
         raw = bytes([int(piece[3:5], 16)]) if model.is_byte(i) else bytes([MARK]) * piece.startswith("▁") + piece.removeprefix("▁").encode()
         raw = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
-        if 0 < len(raw) <= LONGEST and b"\xe2\x96\x81" not in raw:
+        if raw and b"\xe2\x96\x81" not in raw:
             weight = 1e-9 if model.is_byte(i) else 1.0 / (10.0 - min(0.0, model.get_score(i)))
             scores[raw] = scores.get(raw, 0.0) + weight
     for b in (*range(65), *range(91, 256)):
@@ -268,13 +276,14 @@ def vocabulary(path: str) -> Lattice:
     pieces = list(scores)
     flat = np.frombuffer(b"".join(pieces), dtype=np.uint8)
     stops = np.cumsum([len(x) for x in pieces])
-    powers = _powers(LONGEST)
+    powers = _powers(max(map(len, pieces)))
     hashes = np.array([np.sum(tables()[0][flat[b - len(x) : b]] * powers[: len(x)], dtype=np.uint64) for x, b in zip(pieces, stops, strict=True)], dtype=np.uint64)
     hashes = splitmix(hashes ^ np.array([len(x) for x in pieces], dtype=np.uint64))
     weights = np.array(list(scores.values()))
     order = np.argsort(hashes)
     share = weights[order] / weights.sum()
-    return Lattice(hashes[order], np.log(share))
+    marked, inner = (tuple(sorted({len(x) for x in pieces if (x[0] == MARK) == led})) for led in (True, False))
+    return Lattice(hashes[order], np.log(share), marked, inner)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -355,7 +364,7 @@ def learn(words: DataFrame, path: str) -> Lattice:
         for row in words.select("word").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toLocalIterator():
             expected[row["piece"]] = row["n"]
         counts = expected + PRIOR * np.exp(first.logs)
-        lattice = Lattice(first.hashes, np.log(counts / counts.sum()))
+        lattice = replace(first, logs=np.log(counts / counts.sum()))
     return lattice
 
 

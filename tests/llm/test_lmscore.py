@@ -64,6 +64,18 @@ def test_long_words_are_expected_as_short_ones(monkeypatch):
         assert math.isclose(lattice.long(raw), lattice.forward(raw[None, :])[-1][0], rel_tol=1e-9)
 
 
+def test_no_piece_of_the_vocabulary_is_left_out():
+    lattice = lmscore.vocabulary(lmscore.default_vocabulary())
+    assert lattice.longest == lmscore.LONGEST
+    whole = ["representation", "responsibility", "infrastructure"]
+    data = np.frombuffer("".join(whole).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in whole])
+    got = lattice.words(data, ends - [len(w) for w in whole], ends)
+    for w, x in zip(whole, got, strict=True):
+        assert (0, 1 + len(w)) in pieces_of(lattice, bytes([lmscore.MARK]) + w.encode())
+        assert math.isclose(x, brute_word(lattice, w), rel_tol=1e-9), w
+
+
 def test_long_words_teach_the_scores(spark):
     clause = "これは長い文章であり空白がひとつもない文字列です"
     words = spark.createDataFrame([(k, (clause * k).encode()) for k in range(1, 200, 20)], "hash long, word binary")
