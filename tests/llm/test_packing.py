@@ -12,7 +12,6 @@ TEXTS = [(1, "Hello world, it's fine.\n\n  Two  spaces 123 <|endoftext|> é日
 
 def brute(texts, capacity=1024):
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     rows = []
     for doc, text in texts:
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
@@ -60,9 +59,49 @@ def test_genetic_steps_keep_every_item_once():
 def test_ids_equal_the_tokenizers():
     rng = np.random.default_rng(5)
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     encode = packing.Encoder(packing.default_tokenizer())
     alphabet = list("abc AB'srtldm 019.,!?\n\t\u00a0\u2003\u0085\u200béßñ日本😀\u0301Ⅷ²_-") + ["'ll", "  ", "<|endoftext|>", "the "]
     for _ in range(3000):
         text = "".join(rng.choice(alphabet, rng.integers(1, 40)))
         assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def bounds(lengths, capacity, seeds=3):
+    """Sequences by best-fit decreasing, by the islands and a common epoch, and at least."""
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    plain = packing.best_fit(order, lengths, capacity, [])
+    elites = [packing.evolve(lengths, capacity, k, []) for k in range(seeds)]
+    whole = packing.evolve(lengths, capacity, 77, elites)
+    assert sorted(i for b in whole for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= capacity for b in whole)
+    return len(plain), min(map(len, [*elites, whole])), math.ceil(sum(lengths) / capacity)
+
+
+def test_genetic_steps_need_fewer_sequences_than_best_fit_decreasing():
+    rng = np.random.default_rng(3)
+    gained = 0
+    for _ in range(4):
+        lengths = rng.integers(20, 100, 400).tolist()
+        plain, found, least = bounds(lengths, 150)
+        assert least <= found <= plain
+        gained += plain - found
+    assert gained >= 3
+    plain, found, least = bounds(rng.integers(250, 500, 300).tolist(), 1000)
+    assert found < plain
+
+
+def test_emptiest_bins_of_buckets_meet(spark):
+    rng = np.random.default_rng(9)
+    lengths = rng.integers(1, 1024, 3000).tolist()
+    items = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")
+    found = packing.pack(items, 1024, bucket_items=60).select("sequence_id").distinct().count()
+    before, packing.LOOSE = packing.LOOSE, 0
+    try:
+        apart = packing.pack(items, 1024, bucket_items=60).select("sequence_id").distinct().count()
+    finally:
+        packing.LOOSE = before
+    assert math.ceil(sum(lengths) / 1024) <= found < apart - 10
+
+
+def test_added_tokens_are_taken_first():
+    encode = packing.Encoder(packing.default_tokenizer())
+    assert np.frombuffer(encode("x <|endoftext|> y"), "<u4").tolist() == [87, 220, 50256, 331]
