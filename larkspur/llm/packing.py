@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import arrow_rows, cut, fewer
 from larkspur.llm.text import slices
 
-#: Pieces in a bucket at most, about; islands of a bucket; packings in an island; generations of an epoch.
+#: Pieces in a bucket at most, about; islands of a bucket; packings in an island; generations of an epoch, more in smaller buckets.
 BUCKET_ITEMS, ISLANDS, POPULATION, GENERATIONS = 4096, 3, 4, 6
 #: Bins that a step tries to fill better by swaps; a bucket's emptiest bins that meet those of so many other buckets.
-TRIES, LOOSE, MET = 400, 12, 64
+TRIES, LOOSE, MET = 400, 48, 32
 #: Fixed value: what the pre-tokenizer named ByteLevel splits by; files only name it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -75,7 +75,7 @@ class Encoder:
         shown = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
         ranks = {bytes(shown[c] for c in token): rank for token, rank in model["model"]["vocab"].items() if token not in special}
         found = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.encode = lambda text: found.encode(text, allowed_special="all")
+        self.encode = lambda text: found.encode(text, allowed_special="all") if any(x in text for x in special) else found.encode_ordinary(text)
 
     def __call__(self, text: str) -> bytes:
         return np.array(self.encode(text), dtype="<u4").tobytes()
@@ -175,13 +175,15 @@ def mutate(bins: list[list[int]], lengths: list[int], capacity: int, rng: np.ran
     return best_fit(loose, lengths, capacity, kept)
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[list[int]]], generations: int = GENERATIONS, population: int = POPULATION) -> list[list[int]]:
+def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[list[int]]], generations: int | None = None, population: int = POPULATION) -> list[list[int]]:
     """The best packing an island finds from the elites and from best-fit packings of its own.
 
     Islands differ: the first (seed divisible by ISLANDS) begins with best-fit decreasing, the others with ever noisier orders. An island
     ends when it needs no more bins than the total length does, which no packing can better.
     """
     rng = np.random.default_rng(seed)
+    if generations is None:
+        generations = GENERATIONS * min(10, max(1, BUCKET_ITEMS // max(1, len(lengths))))
     bound = math.ceil(sum(lengths) / capacity)
     key = lambda b: fitness(b, lengths, capacity)
     pool = [[list(b) for b in e] for e in elites]

@@ -91,7 +91,7 @@ def test_genetic_steps_need_fewer_sequences_than_best_fit_decreasing():
 
 def test_emptiest_bins_of_buckets_meet(spark):
     rng = np.random.default_rng(9)
-    lengths = rng.integers(1, 1024, 3000).tolist()
+    lengths = rng.integers(1, 1024, 1500).tolist()
     items = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")
     found = packing.pack(items, 1024, bucket_items=60).select("sequence_id").distinct().count()
     before, packing.LOOSE = packing.LOOSE, 0
@@ -99,7 +99,7 @@ def test_emptiest_bins_of_buckets_meet(spark):
         apart = packing.pack(items, 1024, bucket_items=60).select("sequence_id").distinct().count()
     finally:
         packing.LOOSE = before
-    assert math.ceil(sum(lengths) / 1024) <= found < apart - 10
+    assert math.ceil(sum(lengths) / 1024) <= found < apart - 5
 
 
 def test_added_tokens_are_taken_first():
