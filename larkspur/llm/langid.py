@@ -5,14 +5,19 @@ kept together in sorted arrays of 64-bit hashes, one for each order: beside each
 all languages give that n-gram, so that one look-up serves all. A directory over the hashes' first bits makes it a
 look-up of a few steps. What is unseen in every language backs off with each language's interpolation weight.
 
-The language of least length-normalised cross-entropy is chosen. Calibration documents that the models haven't seen give
-each language's mean and spread of it, and a document is rejected when it lies far outside: deviations are measured
-against the spread between documents plus that of a character divided by the length.
-
-Training reads a bounded sample of labelled rows: TRAIN_DOCS documents of each language at most, about, chosen by a hash.
-
-Defined cases: a null text, or one without letters, is `und` with score 0 and rejected; repeated rows have equal results;
-without any labelled row everything is `und`; an empty table gives an empty result; extra columns are not read.
+The language of least length-normalised cross-entropy is chosen. Rejection is calibrated: a text is cut into windows, each
+scored by the language that suits it best, so that texts that mix known languages count as known; the mean of that lies above
+its language's by some nats a symbol. Calibration documents that the models haven't seen, and pieces of them of every length,
+tell how far known texts of a length lie above, and a text is rejected when it lies farther than all but FALSE_RATE of those
+and a margin.
+
+Training reads a bounded sample of labelled rows: of each language about TRAIN_DOCS documents and TRAIN_CHARS characters at most,
+chosen by a hash.
+
+Defined cases: a null text, or one without letters (digits, signs, emoji), is `und` with score 0 and rejected; letters beyond
+the basic plane are letters like others; very long texts are read whole, in bounded pieces of memory; of languages with equal cross-entropy the
+first by name is chosen; repeated rows have equal results; without any labelled row everything is `und`; an empty table gives
+an empty result; extra columns are not read by predict(), and kept as they are by accepted().
 """
 
 from __future__ import annotations
@@ -29,9 +34,11 @@ from larkspur.llm.common import arrow_rows
 from larkspur.llm.text import directory, slices, splitmix
 
 ORDER = 4
-TRAIN_DOCS = 2000
-#: Deviations from which a document is rejected; texts that mix two known languages lie below, unknown languages above.
-FAR = 16.0
+TRAIN_DOCS, TRAIN_CHARS = 2000, 8_000_000
+#: Symbols of a window; the share of known texts beyond the calibrated limit, and what is added to that in nats.
+WINDOW, FALSE_RATE, MARGIN = 64, 0.001, 0.2
+#: Lengths in symbols for which limits are measured, doubling; pieces of a document for each; log-probabilities held at once.
+SHORTEST, LEVELS, PIECES, HELD = 8, 12, 4, 1 << 21
 #: Characters that count at most in the score's certainty.
 CERTAIN = 60
 _BLANK = 32
@@ -43,6 +50,13 @@ def letter_table() -> np.ndarray:
     return np.array([c if chr(c).isalpha() else _BLANK for c in range(1 << 16)], dtype=np.uint16)
 
 
+def beyond(points: np.ndarray) -> np.ndarray:
+    """Symbols of code points beyond the basic plane: letters are dealt over its 8448 values that no letter has, the rest are blanks."""
+    kinds, at = np.unique(points, return_inverse=True)
+    codes = 0xD800 + splitmix(kinds.astype(np.uint64)) % np.uint64(0x2100)
+    return np.where([chr(c).isalpha() for c in kinds.tolist()], codes, _BLANK).astype(np.uint16)[at]
+
+
 def symbols(texts: list[str | None], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The texts' symbols one after another, each text led and ended by a blank; len + 1 offsets; letters in each."""
     lowered = [(x or "").lower() for x in texts]
@@ -50,7 +64,9 @@ def symbols(texts: list[str | None], letters: np.ndarray) -> tuple[np.ndarray, n
     sizes = np.array([len(x) + 1 for x in lowered], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     s = letters[np.minimum(points, 0xFFFF)]
-    s[points > 0xFFFF] = 0xFFFF
+    high = np.flatnonzero(points > 0xFFFF)
+    if len(high):
+        s[high] = beyond(points[high])
     letter = s != _BLANK
     keep = letter.copy()
     keep[0] = True
@@ -120,9 +136,9 @@ class Model:
     #: By order from 2: contexts with the logarithm of the weight that goes to the order below.
     contexts: list[HashTable]
     floor: np.ndarray
+    #: Each language's mean cross-entropy by windows; by length, from SHORTEST on doubling, how far above it known texts lie.
     mean: np.ndarray
-    between: np.ndarray
-    within: np.ndarray
+    limits: np.ndarray
 
     def logs(self, keys: np.ndarray) -> np.ndarray:
         """len(keys) rows of every language's natural log-probability of the last symbol after the others."""
@@ -148,16 +164,34 @@ class Model:
             out[missing] = self._below(shorter[missing], order - 1)
         return out + weight.astype(np.float32)
 
-    def entropies(self, s: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each text the cross-entropy of a symbol in nats by language, and the number of symbols."""
-        n = np.maximum(np.diff(bounds), 1)
+    def entropies(self, s: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the cross-entropy of a symbol in nats by language, that by each window's best one, and the number of symbols."""
+        sizes = np.diff(bounds)
+        n, texts, languages = np.maximum(sizes, 1), len(sizes), len(self.languages)
         if len(s) < 2:
-            return np.zeros((len(n), len(self.languages))), n
-        logs = self.logs(grams(s, len(self.grams)))
-        sums = np.zeros((len(logs) + 1, len(self.languages)))
-        np.cumsum(logs, axis=0, dtype=np.float64, out=sums[1:])
-        at = np.minimum(bounds, len(logs))
-        return -(sums[at[1:]] - sums[at[:-1]]) / n[:, None], n
+            return np.zeros((texts, languages)), np.zeros(texts), n
+        parts = -(-sizes // WINDOW)
+        first = np.concatenate([[0], np.cumsum(parts)])
+        edges = np.repeat(bounds[:-1] - first[:-1] * WINDOW, parts) + np.arange(first[-1]) * WINDOW
+        sums = np.zeros((len(edges), languages))
+        keys = grams(s, len(self.grams))
+        step = max(WINDOW, HELD // languages)
+        for low in range(0, len(keys), step):
+            part = self.logs(keys[low : low + step])
+            a, b = np.searchsorted(edges, [low, low + len(part)], side="left")
+            a -= a == len(edges) or edges[a] > low
+            cuts = np.maximum(edges[max(a, 0) : b] - low, 0)
+            sums[max(a, 0) : b] -= np.add.reduceat(part, cuts, axis=0, dtype=np.float64)
+        owner = np.repeat(np.arange(texts), parts)
+        whole = np.stack([np.bincount(owner, sums[:, k], texts) for k in range(languages)], axis=1)
+        return whole / n[:, None], np.bincount(owner, sums.min(axis=1), texts) / n, n
+
+    def deviations(self, s: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """entropies() without the windows, the best language, and how far above it a text lies, 1 being its length's limit."""
+        h, windows, n = self.entropies(s, bounds)
+        best = h.argmin(axis=1)
+        level = np.clip(np.log2(n / SHORTEST).astype(np.int64), 0, len(self.limits) - 1)
+        return h, n, best, (windows - self.mean[best]) / self.limits[level]
 
 
 def kneser_ney(counts: dict[int, tuple[np.ndarray, np.ndarray]], languages: list[str]) -> Model:
@@ -201,8 +235,7 @@ def kneser_ney(counts: dict[int, tuple[np.ndarray, np.ndarray]], languages: list
             context = np.unique(np.concatenate([o[k]["context"] for o in per]))
             contexts.append(HashTable.of(context, np.log(np.stack([lookup(context, o[k]["context"], o[k]["weight"], 1.0) for o in per], axis=1))))
     floor = np.log(np.array([o[1]["weight"][0] * uniform for o in per]))
-    zeros = np.zeros(len(languages))
-    return Model(languages, tables, contexts, floor, zeros, zeros + 1, zeros + 1)
+    return Model(languages, tables, contexts, floor, np.zeros(len(languages)), np.full(LEVELS, np.inf))
 
 
 def train(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
@@ -211,11 +244,11 @@ def train(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     A fifth of the sample isn't counted but calibrates rejection.
     """
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("h"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: (r["docs"], r["chars"]) for r in rows.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars")).collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
-    share = F.create_map(*(F.lit(x) for k in languages for x in (k, int(min(1.0, train_docs / sizes[k]) * (1 << 30)))))
+    share = F.create_map(*(F.lit(x) for k in languages for x in (k, int(min(1.0, train_docs / sizes[k][0], TRAIN_CHARS / max(1, sizes[k][1])) * (1 << 30)))))
     sample = rows.where(F.col("h") < share[F.col("lang")]).select("text", F.col("lang").alias("l"), F.pmod(F.xxhash64("h"), F.lit(5)).alias("part"))
     index = {k: i for i, k in enumerate(languages)}
 
@@ -252,26 +285,42 @@ def train(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
 
 
 def _calibrated(model: Model, held: DataFrame, index: dict[str, int]) -> Model:
-    """model with each language's mean cross-entropy and its variances, from documents that weren't counted."""
+    """model with each language's mean cross-entropy and the limits by length, from documents that weren't counted."""
     shared = held.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, m = letter_table(), shared.value
         for batch in slices(batches):
-            s, bounds, _ = symbols(batch.column("text").to_pylist(), letters)
-            h, n = m.entropies(s, bounds)
+            s, bounds, letters_in = symbols(batch.column("text").to_pylist(), letters)
             own = np.array([index[x] for x in batch.column("l").to_pylist()])
-            yield pa.record_batch([pa.array(own), pa.array(h[np.arange(len(own)), own]), pa.array(n.astype(np.float64))], names=["one", "h", "n"])
-
-    got = held.mapInArrow(measure, "one long, h double, n double").toPandas()
-    languages = len(model.languages)
-    model.mean, model.between, model.within = np.full(languages, 2.2), np.full(languages, 0.05), np.full(languages, 2.0)
-    for k, mine in got[got.n >= 5].groupby("one"):
-        if len(mine) >= 10:
-            model.mean[k] = np.average(mine.h, weights=np.minimum(mine.n, 500))
-            off = (mine.h - model.mean[k]) ** 2
-            model.within[k] = max(0.5, float(np.median(off * mine.n)) * 2.2)
-            model.between[k] = max(1e-4, float(np.median(off[mine.n >= np.median(mine.n)])) * 2.2)
+            sizes = np.diff(bounds)
+            parts = [(own, np.full(len(own), -1), m.entropies(s, bounds)[1], sizes)]
+            for level in range(LEVELS):
+                wide = SHORTEST << level
+                for k in range(PIECES):
+                    some = np.flatnonzero((sizes >= (k + 1) * wide) & (letters_in > 0))
+                    if len(some):
+                        at = np.repeat(bounds[some] + k * wide, wide) + np.tile(np.arange(wide), len(some))
+                        edges = np.arange(len(some) + 1) * wide
+                        parts.append((own[some], np.full(len(some), level), m.entropies(np.append(s[at], _BLANK), edges)[1], np.full(len(some), wide)))
+            one, level, w, n = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            yield pa.record_batch([pa.array(one), pa.array(level.astype(np.int64)), pa.array(w), pa.array(n.astype(np.float64))], names=["one", "level", "w", "n"])
+
+    got = held.mapInArrow(measure, "one long, level long, w double, n double").toPandas()
+    whole = got[(got.level < 0) & (got.n >= SHORTEST)]
+    if not len(whole):
+        return model
+    weights = np.minimum(whole.n, 500)
+    model.mean = np.full(len(model.languages), np.average(whole.w, weights=weights))
+    for k, mine in whole.groupby("one"):
+        model.mean[k] = np.average(mine.w, weights=weights[mine.index])
+    above = got.w - model.mean[got.one]
+    limit = np.inf
+    for level in range(LEVELS):
+        here = above[got.level == level]
+        if len(here) >= 20:
+            limit = min(limit, float(np.quantile(here, 1 - FALSE_RATE)) + MARGIN * (1 + 10 / np.sqrt(len(here))))
+        model.limits[level] = max(limit, MARGIN)
     return model
 
 
@@ -287,12 +336,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.record_batch([ids, pa.array(["und"] * rows), pa.array([0.0] * rows), pa.array([None] * rows, pa.float64()), pa.array([True] * rows)], schema=_RESULT)
                 continue
             s, bounds, letters_in = symbols(batch.column("text").to_pylist(), letters)
-            h, n = m.entropies(s, bounds)
-            best = h.argmin(axis=1)
-            least = h[np.arange(rows), best]
-            odds = np.exp(-(h - least[:, None]) * np.minimum(n, CERTAIN)[:, None])
-            off = (least - m.mean[best]) / np.sqrt(m.between[best] + m.within[best] / n)
-            fit = 1 / (1 + np.exp(np.clip(off - FAR, -50, 50)))
+            h, n, best, off = m.deviations(s, bounds)
+            odds = np.exp(-(h - h.min(axis=1)[:, None]) * np.minimum(n, CERTAIN)[:, None])
+            fit = 1 / (1 + np.exp(np.clip(8 * (off - 1), -50, 50)))
             none = letters_in == 0
             yield pa.record_batch(
                 [
@@ -300,7 +346,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     pa.array(["und" if x else m.languages[k] for x, k in zip(none, best, strict=True)]),
                     pa.array(np.where(none, 0.0, fit / odds.sum(axis=1))),
                     pa.array(np.where(none, 0.0, off)),
-                    pa.array(none | (off > FAR)),
+                    pa.array(none | (off > 1)),
                 ],
                 schema=_RESULT,
             )
@@ -319,15 +365,8 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
             s, bounds, letters_in = symbols(batch.column("text").to_pylist(), letters)
             keep = letters_in > 0
             if m is not None:
-                keep &= ~_rejected(m, s, bounds)
+                keep &= m.deviations(s, bounds)[3] <= 1
             yield batch.filter(pa.array(keep))
 
     arrow_rows(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
-
-
-def _rejected(model: Model, s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    h, n = model.entropies(s, bounds)
-    best = h.argmin(axis=1)
-    off = (h[np.arange(len(n)), best] - model.mean[best]) / np.sqrt(model.between[best] + model.within[best] / n)
-    return off > FAR
