@@ -1,20 +1,28 @@
 """Secret scans by rules and by character Markov models, in DataFrame operations only.
 
-Rules find assignments, access keys and long hexadecimal strings. Beside them, two first-order character Markov
-models, one of random strings and one of ordinary identifiers, are compared by their log-likelihood ratio over
-every long token. Both are trained from labelled samples: the random strings are what the rules caught
-behind assignments and as keys (together with a uniform draw over the alphabet as prior), the identifiers are
-words of documents in which the rules caught nothing.
-
-Positions are code points, the end exclusive. Defined cases: a null or empty text has no spans; repeated rows are
-scanned each for itself; an empty table gives an empty result; extra columns are not read.
+Rules find assignments, access keys and long hexadecimal strings. Beside them, first-order character Markov models of
+random strings and of ordinary identifiers are compared over every token of LEAST characters or more. A string is random if its
+log-likelihood ratio, summed over its pairs of neighbouring characters, exceeds ODDS nats, the weight of how rare secrets are, and
+MEAN nats a pair; so short tokens have to be clearer than long ones, and nothing else decides. Of random strings there are two models, of which
+the better one counts: one learned from the values that the rules caught, and one that draws evenly from the kinds of characters
+(lower case, upper case, digits, signs) that the token has. Identifiers are learned from the words of documents in which the rules caught nothing.
+
+Scanning is a projection of each row: no row moves. The models are a table of 67 by 67 numbers, counted from bounded
+samples (SAMPLE documents, and as many caught values, chosen by hashes).
+
+Positions are code points, the end exclusive. Markov spans are added only where no rule's span overlaps them. Defined cases: a
+null or empty text has no spans; very long texts are scanned whole, their positions summed in blocks; spans that begin
+together are listed by kind; repeated rows are scanned each for itself; where ordinary words have fewer than ENOUGH pairs to learn from, no Markov
+span is added; an empty table gives an empty result; extra columns are not read by scan(), and kept as they are by redact().
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from larkspur.llm.common import cut
 
@@ -22,148 +30,196 @@ from larkspur.llm.common import cut
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-#: Tokens that the Markov models judge, and what they are made of.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Kind, pattern, group of the value, least length of the value.
+RULES = (("assign", ASSIGN, 2, 8), ("access", ACCESS, 0, 0), ("hex", HEX, 0, 0))
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "markov")
-#: Training: documents whose words are identifiers, at most about; the share of a uniform random string in the prior.
-IDENTIFIER_DOCS, PRIOR = 4000, 200.0
-#: Nats for each character pair from which a token counts as random.
-MARGIN = 0.35
+#: Characters of tokens, and a token's least length.
+ALPHABET, LEAST = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 12
+TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+#: Nats from which a token counts as random: in all, and for each pair.
+ODDS, MEAN = 10.0, 0.35
+#: Training: documents and values at most, about; pairs of ordinary words needed; the weight of an even draw in the learned model.
+SAMPLE, ENOUGH, PRIOR = 4000, 2000, 200.0
+#: Items that are summed up one after another.
+BLOCK = 512
 
+#: Logarithms of both models' probabilities, by the first character and then the second: random, ordinary.
+Models = tuple[np.ndarray, np.ndarray]
 
-def _classes() -> Column:
-    """A character as one of 66 symbols: those of TOKEN as they are, all others as a blank."""
-    return F.regexp_replace("tok", r"[^A-Za-z0-9+/_=-]", " ")
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-def _hits(kind: str, pattern: str, group: int) -> Column:
-    """An array of (kind, k, gap, hit, value): the matches of pattern in text with the lengths before and of each."""
-    zipped = F.arrays_zip(
-        F.split("text", pattern, -1).alias("gap"),
-        F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hit"),
-        F.regexp_extract_all("text", F.lit(pattern), F.lit(group)).alias("value"),
-    )
-    rows = F.transform(zipped, lambda m, k: F.struct(F.lit(kind).alias("kind"), k.alias("k"), F.length(m["gap"]).alias("gap"), F.length(m["hit"]).alias("hit"), m["value"].alias("value")))
-    return F.when(F.col("text").rlike(pattern), F.filter(rows, lambda m: m["hit"].isNotNull()))
 
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
 
-#: Kind, pattern, group of the value, least length of the value.
-RULES = (("assign", ASSIGN, 2, 8), ("access", ACCESS, 0, 0), ("hex", HEX, 0, 0), ("markov", TOKEN, 0, 0))
 
+def _smaller(a: Column, b: Column) -> Column:
+    return F.least(a, b)
 
-def candidates(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """keep, uid, kind, start, end, value: all rule matches and long tokens; a row without any has one with null kind.
 
-    One pass over docs (text and the columns keep). Running sums of the lengths of gaps and matches are the positions.
-    """
-    found = F.flatten(F.filter(F.array(*(_hits(kind, pattern, group) for kind, pattern, group, _ in RULES)), lambda x: x.isNotNull()))
-    rows = docs.select(*keep, "text").withColumn("uid", F.monotonically_increasing_id()).select(*keep, "uid", F.explode_outer(found).alias("m"))
-    order = Window.partitionBy("uid", "m.kind").orderBy("m.k")
-    end = F.sum(F.col("m.gap") + F.col("m.hit")).over(order)
-    placed = rows.select(*keep, "uid", "m.kind", (end - F.col("m.hit")).alias("start"), end.alias("end"), "m.value")
-    short = F.lit(False)
-    for kind, _, _, least in RULES:
-        short = short | ((F.col("kind") == kind) & (F.length("value") < least))
-    plain = (F.col("kind") == "markov") & ~F.col("value").rlike("[0-9]|[a-z][A-Z]|[A-Z][a-z].*[A-Z]")
-    nothing = F.coalesce(short | plain, F.lit(False))
-    return placed.select(*keep, "uid", *(F.when(~nothing, F.col(c)).alias(c) for c in ("kind", "start", "end", "value")))
+def running(values: Column, join: Callable[[Column, Column], Column], first: int) -> Column:
+    """For each of an array of longs what join makes of first and all values before it, in blocks, so that long arrays are cheap."""
+    parts = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
+    grown = lambda v, start: F.aggregate(v, F.array(start), lambda acc, x: F.array_append(acc, join(F.element_at(acc, -1), x)))
+    zero = F.lit(first).cast("long")
 
+    def whole(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, zero, join))
+        return let(grown(sums, zero), lambda starts: F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), lambda b, s: F.slice(grown(b, s), F.lit(1), F.size(b)))))
 
-def _pairs(tokens: DataFrame) -> DataFrame:
-    """The tokens with one row for each pair of neighbouring characters."""
-    return tokens.withColumn("tok", _classes()).where(F.length("tok") >= 2).withColumn("i", F.explode(F.sequence(F.lit(1), F.length("tok") - 1))).withColumn("a", F.substring("tok", F.col("i"), F.lit(1))).withColumn("b", F.substring("tok", F.col("i") + 1, F.lit(1)))
+    return F.when(F.size(values) > 0, let(values, lambda v: let(parts(v), whole))).otherwise(F.array().cast("array<bigint>"))
 
 
-def train(samples: DataFrame) -> DataFrame:
-    """a, b, llr: the log-likelihood ratio of each character pair, from samples (tok, secret 0/1).
+_SPANS = "array<struct<start: bigint, rank: int, end: bigint, value: string>>"
 
-    At most 67 * 67 rows. Pairs of both models are smoothed: the random one towards uniform, the other by add-half.
-    """
-    symbols = 67
-    counts = _pairs(samples).groupBy("a", "b").agg(F.sum("secret").alias("r"), F.sum(1 - F.col("secret")).alias("o"))
-    first = counts.groupBy("a").agg(F.sum("r").alias("ra"), F.sum("o").alias("oa"))
-    random = (F.col("r") + PRIOR / 64) / (F.col("ra") + PRIOR)
-    ordinary = (F.col("o") + 0.5) / (F.col("oa") + 0.5 * symbols)
-    return counts.join(F.broadcast(first), "a").select("a", "b", F.log(random / ordinary).alias("llr"))
 
+def _matches(kind: str, pattern: str, group: int, keep: Callable[[Column], Column]) -> Column:
+    """The matches of pattern in text whose values keep holds for: an array of start, rank, end, value."""
+    text = F.col("text")
+    hit = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hit.alias("hit"), (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hit).alias("value"))
+    real = F.filter(zipped, lambda m: m["hit"].isNotNull())
+    rank = F.lit(KINDS.index(kind))
 
-def random_tokens(tokens: DataFrame, model: DataFrame, unseen: float = 1.0) -> DataFrame:
-    """The tokens (uid, kind, start, end, tok) that the models call random, with llr, the mean ratio of a pair."""
-    keys = ["uid", "kind", "start", "end", "tok"]
-    pairs = _pairs(tokens.withColumn("whole", F.col("tok"))).join(F.broadcast(model), ["a", "b"], "left")
-    judged = pairs.groupBy("uid", "kind", "start", "end", "whole").agg(F.avg(F.coalesce("llr", F.lit(unseen))).alias("llr")).withColumnRenamed("whole", "tok")
-    return judged.where(F.col("llr") > MARGIN).select(*keys, "llr")
+    def placed(rows: Column) -> Column:
+        ends = running(F.transform(rows, lambda m: (F.length(m["gap"]) + F.length(m["hit"])).cast("long")), lambda a, b: a + b, 0)
 
+        def one(m: Column, before: Column) -> Column:
+            start = before + F.length(m["gap"])
+            return F.struct(start.alias("start"), rank.alias("rank"), (start + F.length(m["hit"])).alias("end"), m["value"].alias("value"))
 
-def fit(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """The pair model from docs (text) and what the rules caught (value), each sampled up to a bounded expectation."""
-    words = F.explode(F.split(F.regexp_replace("text", r"[^A-Za-z0-9+/_=-]+", " "), " "))
+        return F.filter(F.zip_with(rows, ends, one), lambda m: keep(m["value"]))
+
+    return F.coalesce(F.when(text.rlike(pattern), let(real, placed)), F.array()).cast(_SPANS)
+
+
+def caught() -> Column:
+    """The rules' spans in text."""
+    return F.concat(*(_matches(kind, pattern, group, lambda v, least=least: F.length(v) >= least) for kind, pattern, group, least in RULES))
+
+
+def _pairs(token: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """An array with body of each two neighbouring characters of token."""
+    return let(F.split(token, ""), lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), body))
+
+
+def train(samples: DataFrame) -> Models | None:
+    """Both models from samples (tok, secret 0/1); None if there is too little of ordinary words."""
+    pairs = samples.where(F.length("tok") >= 2).select("secret", F.explode(_pairs(F.col("tok"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
+    place = {c: i for i, c in enumerate(ALPHABET)}
+    counts = np.zeros((2, len(ALPHABET), len(ALPHABET)))
+    # at most 2 * 67 * 67 rows
+    for row in pairs.where(F.instr(F.lit(ALPHABET), F.col("p.a")) * F.instr(F.lit(ALPHABET), F.col("p.b")) > 0).groupBy("secret", "p.a", "p.b").count().collect():
+        if row["a"] in place and row["b"] in place:
+            counts[row["secret"], place[row["a"]], place[row["b"]]] = row["count"]
+    ordinary, random = counts
+    if ordinary.sum() < ENOUGH:
+        return None
+    n = len(ALPHABET)
+    return np.log((random + PRIOR / n) / (random.sum(axis=1, keepdims=True) + PRIOR)), np.log((ordinary + 0.5) / (ordinary.sum(axis=1, keepdims=True) + 0.5 * n))
+
+
+def fit(docs: DataFrame) -> Models | None:
+    """The models that docs (text) teach: what the rules caught, and words of documents in which they caught nothing."""
 
     def some(df: DataFrame, column: str, total: int) -> DataFrame:
-        return df.where(F.pmod(F.xxhash64(column), F.lit(1 << 20)) < int(min(1.0, IDENTIFIER_DOCS / max(total, 1)) * (1 << 20)))
+        return df.where(F.pmod(F.xxhash64(column), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(total, 1)) * (1 << 20)))
 
     ruled = F.lit(False)
-    for _, pattern, _, _ in RULES[:3]:
+    for _, pattern, _, _ in RULES:
         ruled = ruled | F.col("text").rlike(pattern)
-    ordinary = some(docs.where("text IS NOT NULL"), "text", docs.count()).where(~ruled).select(words.alias("tok"), F.lit(0).alias("secret")).where(F.length("tok") >= 4)
-    secret = some(base, "value", base.count()).select(F.col("value").alias("tok"), F.lit(1).alias("secret"))
-    return cut(train(ordinary.unionByName(secret)))
+    texts = docs.select("text").where("text IS NOT NULL")
+    values = cut(texts.where(ruled).select(F.explode(F.transform(caught(), lambda m: m["value"])).alias("value")))
+    words = F.explode(F.split(F.regexp_replace("text", r"[^A-Za-z0-9+/_=-]+", " "), " "))
+    ordinary = some(texts, "text", texts.count()).where(~ruled).select(words.alias("tok"), F.lit(0).alias("secret")).where(F.length("tok") >= 4)
+    return train(ordinary.unionByName(some(values, "value", values.count()).select(F.col("value").alias("tok"), F.lit(1).alias("secret"))))
+
+
+def _table(values: np.ndarray) -> Column:
+    """Numbers as one literal array."""
+    return F.split(F.lit(",".join(f"{v:.4f}" for v in values.ravel())), ",").cast("array<double>")
+
+
+def is_random(token: Column, models: Models) -> Column:
+    """Whether the models call a token random."""
+    random, ordinary = models
+    n = len(ALPHABET)
+    place = lambda c: F.instr(F.lit(ALPHABET), c)
+    pair = lambda a, b: (place(a) - 1) * n + place(b)
+    total = lambda at, table: F.aggregate(at, F.lit(0.0), lambda acc, k: acc + F.element_at(_table(table), k))
+    kinds = sum((F.when(token.rlike(p), size).otherwise(0) for p, size in (("[a-z]", 26), ("[A-Z]", 26), ("[0-9]", 10), ("[+/_=-]", 5))), F.lit(0))
+
+    def judged(at: Column) -> Column:
+        drawn = -F.log(kinds.cast("double")) * F.size(at)
+        ratio = F.greatest(drawn, total(at, random)) - total(at, ordinary)
+        return (ratio > ODDS) & (ratio > MEAN * F.size(at))
+
+    return let(_pairs(token, pair), judged)
 
 
-def secret_spans(docs: DataFrame, keep: tuple[str, ...], learned: DataFrame | None = None) -> DataFrame:
-    """keep, uid, kind, start, end of every span in docs; a row without spans has one with null kind.
+def spans(models: Models | None) -> Column:
+    """All spans in text, by start and then kind."""
+    if models is None:
+        return F.array_sort(caught())
+    found = F.concat(caught(), _matches("markov", TOKEN, 0, lambda v: is_random(v, models)))
+    far = 1 << 62
+    base = lambda x: x["rank"] < KINDS.index("markov")
 
-    Markov spans are added only where no rule's span overlaps them. The identifier model is learned from the rows of
-    learned (docs, if None), which hold docs' rows and all others that the model is to know.
-    """
-    found = cut(candidates(docs, keep))
-    base = found.where("kind IS NOT NULL AND kind <> 'markov'")
-    tokens = found.where("kind = 'markov'").withColumnRenamed("value", "tok")
-    judged = random_tokens(tokens.select("uid", "kind", "start", "end", "tok"), fit(docs if learned is None else learned, base))
-    taken = base.select("uid", F.col("start").alias("s"), F.col("end").alias("e"))
-    fresh = judged.join(taken, (judged["uid"] == taken["uid"]) & (F.col("start") < F.col("e")) & (F.col("end") > F.col("s")), "left_anti").select("uid", "start", F.lit("markov").alias("kind"), F.lit(True).alias("fresh"))
-    spans = found.join(fresh, ["uid", "start", "kind"], "left")
-    real = F.col("fresh") | (F.col("kind") != "markov")
-    return spans.select(*keep, "uid", *(F.when(real, F.col(c)).alias(c) for c in ("kind", "start", "end")))
+    def apart(sorted_: Column) -> Column:
+        until = running(F.transform(sorted_, lambda x: F.when(base(x), x["end"]).otherwise(F.lit(0).cast("long"))), _larger, 0)
+        onward = F.reverse(running(F.reverse(F.transform(sorted_, lambda x: F.when(base(x), x["start"]).otherwise(F.lit(far)))), _smaller, far))
+        both = F.zip_with(until, onward, lambda a, b: F.struct(a.alias("until"), b.alias("onward")))
+        marked = F.zip_with(sorted_, both, lambda x, y: F.struct(x.alias("x"), (base(x) | (y["until"] <= x["start"]) & (y["onward"] >= x["end"])).alias("keep")))
+        return F.transform(F.filter(marked, lambda m: m["keep"]), lambda m: m["x"])
 
+    return let(found, lambda f: F.when(F.exists(f, lambda x: ~base(x)) & F.exists(f, base), let(F.array_sort(f), apart)).otherwise(F.array_sort(f)))
 
-def _listed(only: Column | None) -> Column:
-    """The spans as kind:start:end, by start and then kind, comma-joined."""
-    item = F.struct("start", F.expr(f"array_position(array({', '.join(map(repr, KINDS))}), kind)").alias("rank"), F.concat_ws(":", "kind", "start", "end").alias("said"))
-    rows = F.collect_list(item if only is None else F.when(only, item))
-    return F.array_join(F.transform(F.array_sort(rows), lambda x: x["said"]), ",")
+
+def _listed(rows: Column) -> Column:
+    """Spans as kind:start:end, comma-joined."""
+    names = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(rows, lambda x: F.concat_ws(":", F.element_at(names, x["rank"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_markov, base_spans, spans of every row of docs (doc_id, text)."""
-    count = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).alias(f"n_{kind}")
-    spans = secret_spans(docs, ("doc_id",))
-    lists = spans.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), *map(count, KINDS), _listed(F.col("kind") != "markov").alias("base_spans"), _listed(F.col("kind").isNotNull()).alias("spans"))
-    return lists.drop("uid")
+    models = fit(docs)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", spans(models).alias("found"))
+    count = lambda k: F.size(F.filter("found", lambda x: x["rank"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    return rows.select("doc_id", *map(count, range(len(KINDS))), _listed(F.filter("found", lambda x: x["rank"] < 3)).alias("base_spans"), _listed(F.col("found")).alias("spans"))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every span of its texts replaced by mask and n_chars set anew; all other columns as they were.
+    """docs with every span of its texts replaced by mask and n_chars set anew; all other columns, and clean rows, as they were."""
+    models = fit(docs)
+    found = free_name(docs, "found")
+    rows = docs.withColumn(found, spans(models))
 
-    Only rows in which a rule or a long token matches are scanned and joined with the spans, by the model that all rows of
-    docs teach; the spans of equal texts are equal.
-    """
-    suspect = F.lit(False)
-    for _, pattern, _, _ in RULES:
-        suspect = suspect | F.col("text").rlike(pattern)
-    suspect = F.coalesce(suspect, F.lit(False))
-    rows = docs.where(suspect).withColumn("__key", F.sha2("text", 256))
-    spans = secret_spans(rows, ("__key",), docs).where("kind IS NOT NULL")
-    lists = spans.groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        keep = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
-        return F.struct(F.greatest(acc["at"], x["end"]).cast("long").alias("at"), F.concat(acc["out"], keep, F.when(x["end"] > acc["at"], F.lit(mask)).otherwise("")).alias("out"))
-
-    whole = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    masked = rows.join(lists, "__key", "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(whole))
+    def masked(some: Column) -> Column:
+        until = running(F.transform(some, lambda x: x["end"]), _larger, 0)
+
+        def piece(x: Column, at: Column) -> Column:
+            between = F.substring(F.col("text"), (at + 1).cast("int"), F.greatest(x["start"] - at, F.lit(0)).cast("int"))
+            return F.concat(between, F.when(x["end"] > at, F.lit(mask)).otherwise(""))
+
+        rest = F.substring(F.col("text"), (F.array_max(F.transform(some, lambda x: x["end"])) + 1).cast("int"), F.length("text"))
+        return F.concat(F.array_join(F.zip_with(some, until, piece), ""), rest)
+
+    held = F.coalesce(F.size(found), F.lit(0)) > 0
+    text = F.when(held, let(F.col(found), masked)).otherwise(F.col("text"))
+    rows = rows.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), held.alias(found))
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return docs.where(~suspect).unionByName(masked.select(*docs.columns))
+        rows = rows.withColumn("n_chars", F.when(F.col(found), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*(f"`{c}`" for c in docs.columns))

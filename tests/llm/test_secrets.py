@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import string
@@ -76,6 +77,72 @@ def test_redact_masks_what_scan_finds(spark):
     assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == want
 
 
+def test_random_tokens_of_one_kind_of_letters_and_short_ones(spark):
+    rng = random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    low = lambda n: "".join(rng.choice(string.ascii_lowercase) for _ in range(n))
+    planted = [(-1, "see qzxkvjwqpzvxkjqwzkxvbq now"), (-2, "use Zx9Qw7Rt5Yb3Nm1Kp8 there"), (-3, "see " + low(24).upper() + " now")] + [(-10 - k, low(26)) for k in range(20)]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(planted, "doc_id long, text string").unionByName(docs)).collect()}
+    assert got[-1].spans == "markov:4:26" and got[-2].spans == "markov:4:22" and got[-3].spans == "markov:4:28"
+    assert sum(got[-10 - k].n_markov for k in range(20)) >= 17
+    clean = [r for d, r in got.items() if d >= 0 and not r.base_spans]
+    assert sum(r.n_markov > 0 for r in clean) <= 0.005 * len(clean)
+
+
+def brute_markov(text, models):
+    """The Markov spans of a text, by plain loops."""
+    base = [tuple(map(int, x.split(":")[1:])) for x in brute(text).split(",") if x]
+    at = {c: i for i, c in enumerate(secrets.ALPHABET)}
+    out = []
+    for m in re.finditer(secrets.TOKEN, text):
+        t = m[0]
+        kinds = sum(n for p, n in (("[a-z]", 26), ("[A-Z]", 26), ("[0-9]", 10), ("[+/_=-]", 5)) if re.search(p, t))
+        learned = sum(round(float(models[0][at[a], at[b]]), 4) for a, b in zip(t, t[1:]))
+        ordinary = sum(round(float(models[1][at[a], at[b]]), 4) for a, b in zip(t, t[1:]))
+        ratio = max(learned, -math.log(kinds) * (len(t) - 1)) - ordinary
+        if ratio > secrets.ODDS and ratio > secrets.MEAN * (len(t) - 1) and not any(s < m.end() and e > m.start() for s, e in base):
+            out.append((m.start(), 3, "markov", m.end()))
+    return out
+
+
+def test_markov_spans_match_brute_force(spark):
+    rng = random.Random(7)
+    words = ["configuration", "management", "internationalization", "customer", "statement", "get_user_name"]
+    parts = ["token=", "AKIA", "deadbeef" * 5, " ", " ", "é ", "/", "-", *words]
+    piece = lambda: rng.choice(parts) if rng.random() < 0.8 else "".join(rng.choice(secrets.ALPHABET) for _ in range(rng.randint(1, 30)))
+    rows = [(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(40)] + [(100 + i, "".join(piece() for _ in range(rng.randint(1, 60)))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models = secrets.fit(docs)
+    found = 0
+    for r in secrets.scan(docs).collect():
+        text = dict(rows)[r.doc_id]
+        spans = sorted([(int(s), secrets.KINDS.index(k), k, int(e)) for k, s, e in (x.split(":") for x in brute(text).split(",") if x)] + brute_markov(text, models))
+        assert r.spans == ",".join(f"{k}:{s}:{e}" for s, _, k, e in spans), text
+        found += r.n_markov
+    assert found > 50
+
+
+def test_very_long_texts_ties_and_repeated_rows(spark):
+    one = "token=abcdefgh%04d " * 1
+    long = "".join(one % (k % 10000) for k in range(3000))
+    docs = spark.createDataFrame([(1, long), (1, long), (2, "x" * 300000), (3, "token=" + "ab" * 20)], "doc_id long, text string")
+    got = secrets.scan(docs).collect()
+    assert [r.n_assign for r in got if r.doc_id == 1] == [3000, 3000]
+    assert all(r.base_spans == brute(long) for r in got if r.doc_id == 1)
+    assert {r.doc_id: r.base_spans for r in got}[3] == "assign:0:46,hex:6:46"
+    masked = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert masked[1] == "[SECRET] " * 3000 and masked[3] == "[SECRET]"
+
+
+def test_redact_keeps_clashing_columns_and_empty_tables(spark):
+    schema = "doc_id long, text string, found string, __key string, start int, kind string, n_chars int"
+    docs = spark.createDataFrame([(1, "a token=abcdefgh12 b", "f", "k", 3, "z", 20), (2, "clean", "f", "k", 3, "z", None)], schema)
+    got = {r.doc_id: r for r in secrets.redact(docs).collect()}
+    assert got[1].text == "a [SECRET] b" and got[1].n_chars == 12 and got[2] == (2, "clean", "f", "k", 3, "z", None)
+    assert (got[1].found, got[1]["__key"], got[1].start, got[1].kind) == ("f", "k", 3, "z") and secrets.redact(docs).columns == docs.columns
+    assert secrets.redact(docs.where("false")).collect() == []
+
+
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
