@@ -6,13 +6,17 @@ leaves the hash alone. The hashes of all benchmark items under all masks form a
 joined with it, and around every hit the two texts are compared on the hit's diagonal: the run of words that
 agrees in enough places is the overlap.
 
-The benchmark is the query set: it is read in blocks of at most BLOCK_HASHES hashes, each sent to the tasks in turn, so
-that no block's size grows with the data. Documents aren't shuffled.
+The benchmark is the query set: it is read in blocks of at most BLOCK_HASHES hashes, and TOGETHER blocks are sent to the tasks for
+one scan, so that no task's memory grows with the benchmark. Documents aren't shuffled, and their words are hashed once a scan.
 
-An overlap counts from MIN_WORDS words (or the whole item, if it is shorter, but at least SHORTEST) of which SIMILARITY agree.
+An overlap counts from MIN_WORDS words, or the whole item if it is shorter, of which SIMILARITY agree and the first and the last do. Items
+of fewer than MIN_WORDS words are also looked for by three words in a row (SHORT_MASK), which every run of 6 to 12 words
+with up to a fifth of them substituted keeps somewhere; items of 3 to 5 words have to agree in every word. Items of one or two
+words are no evidence, and aren't looked for.
 
-Defined cases: null and empty texts overlap nothing; items of fewer words than SHORTEST are not looked for; repeated
-rows and items are reported each; an empty table on either side gives an empty result; extra columns are not read.
+Defined cases: null and empty texts overlap nothing; very long texts are looked at whole; of several overlaps with an item the
+one with most agreeing words counts, of equal ones the first by place; repeated rows and items are reported each; an empty table on
+either side gives an empty result; extra columns are not read by overlaps(), and kept as they are by decontaminate().
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ from larkspur.llm.text import column_bytes, slices, span_hashes, word_spans
 
 #: The masks, 1 where a word counts.
 MASKS = ("111011", "1101011", "10110111")
-MIN_WORDS, SHORTEST, SIMILARITY = 13, 6, 0.8
-BLOCK_HASHES = 1 << 19
+SHORT_MASK = "111"
+#: Words of an overlap, of an item, and of an item in which words may be substituted, at least; the share of agreeing words.
+MIN_WORDS, SHORTEST, SUBSTITUTED, SIMILARITY = 13, 3, 6, 0.8
+BLOCK_HASHES, TOGETHER = 1 << 19, 8
 _RESULT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("n_equal", pa.int32()), ("item_words", pa.int32())])
 SCHEMA = "doc_id long, item_id long, first_word int, n_words int, n_equal int, item_words int"
 
@@ -65,26 +71,21 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 def longest_overlap(equal: np.ndarray, similarity: float) -> tuple[int, int]:
-    """Start and end of the longest run that begins and ends with agreement and agrees in the given share of places."""
+    """Start and end of the longest run, of equal ones the first, that begins and ends with agreement and agrees in the given share of places."""
     at = np.flatnonzero(equal)
     if not len(at):
         return 0, 0
-    score = np.concatenate([[0.0], np.cumsum(np.where(equal, 1 - similarity, -similarity))])
-    low = np.minimum.accumulate(score)
-    high = np.maximum.accumulate(score[::-1])[::-1]
-    best, i, j, n = (0, 0), 0, 0, len(score)
-    while j < n:
-        if high[j] >= low[i] - 1e-9:
-            if j - i > best[1] - best[0]:
-                best = (i, j)
-            j += 1
-        else:
-            i += 1
-    a, b = best
-    while a < b and score[b] < score[a] - 1e-9:
-        a += 1
-    inside = at[(at >= a) & (at < b)]
-    return (int(inside[0]), int(inside[-1]) + 1) if len(inside) else (0, 0)
+    least = round(similarity * 1000)
+    score = np.concatenate([[0], np.cumsum(np.where(equal, 1000 - least, -least))])
+    begins, ends = score[at], score[at + 1]
+    # a begin counts only if it lies below all before it; its end is the last that doesn't lie below it
+    lowest = np.minimum.accumulate(begins)
+    some = np.flatnonzero(np.concatenate([[True], begins[1:] < lowest[:-1]]))
+    highest = np.maximum.accumulate(ends[::-1])[::-1]
+    last = np.searchsorted(-highest, -begins[some], side="right") - 1
+    sizes = at[last] + 1 - at[some]
+    best = int(np.argmax(sizes))
+    return int(at[some[best]]), int(at[last[best]]) + 1
 
 
 class Block:
@@ -92,9 +93,12 @@ class Block:
 
     def __init__(self, items: list[tuple[int, np.ndarray]]) -> None:
         self.items = items
+        self.masks = (*MASKS, SHORT_MASK) if any(len(w) < MIN_WORDS for _, w in items) else MASKS
         hashes, places = [], []
         for k, (_, words) in enumerate(items):
-            for m, mask in enumerate(MASKS):
+            for m, mask in enumerate(self.masks):
+                if mask == SHORT_MASK and len(words) >= MIN_WORDS:
+                    continue
                 h = seeds(words, mask)
                 hashes.append(h)
                 places.append(np.stack([np.full(len(h), k), np.full(len(h), m), np.arange(len(h))], axis=1))
@@ -107,7 +111,7 @@ class Block:
 
     def hits(self, words: np.ndarray, m: int) -> Iterator[tuple[int, int, int]]:
         """Item, its place and the document's place of every equal hash under mask m."""
-        h = seeds(words, MASKS[m])
+        h = seeds(words, self.masks[m])
         maybe = np.flatnonzero(self.filter[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
         low = np.searchsorted(self.hashes, h[maybe], side="left")
         high = np.searchsorted(self.hashes, h[maybe], side="right")
@@ -118,15 +122,15 @@ class Block:
 
     def overlaps(self, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """item_id, first word, words, agreeing words, the item's words of the best overlap with each item."""
-        diagonals = {(k, at - place) for m in range(len(MASKS)) for k, place, at in self.hits(words, m)}
+        diagonals = {(k, at - place) for m in range(len(self.masks)) for k, place, at in self.hits(words, m)}
         best: dict[int, tuple[int, int, int, int, int]] = {}
         for k, shift in sorted(diagonals):
             item_id, item = self.items[k]
             low, high = max(0, shift), min(len(words), shift + len(item))
             equal = words[low:high] == item[low - shift : high - shift]
-            a, b = longest_overlap(equal, SIMILARITY)
+            a, b = longest_overlap(equal, SIMILARITY if len(item) >= SUBSTITUTED else 1.0)
             agreeing = int(equal[a:b].sum())
-            if b - a >= min(MIN_WORDS, len(item)) and agreeing >= SIMILARITY * (b - a) - 1e-9 and (k not in best or agreeing > best[k][3]):
+            if b - a >= min(MIN_WORDS, len(item)) and (k not in best or agreeing > best[k][3]):
                 best[k] = (item_id, low + a, b - a, agreeing, len(item))
         return list(best.values())
 
@@ -140,7 +144,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[Block]:
         if len(words) < SHORTEST:
             continue
         items.append((row["item_id"], words))
-        size += len(MASKS) * len(words)
+        size += (len(MASKS) + 1) * len(words)
         if size >= BLOCK_HASHES:
             yield Block(items)
             items, size = [], 0
@@ -148,20 +152,31 @@ def _blocks(benchmark: DataFrame) -> Iterator[Block]:
         yield Block(items)
 
 
+def _scans(docs: DataFrame, benchmark: DataFrame) -> Iterator[list]:
+    """The benchmark's blocks as broadcasts, TOGETHER of them for each scan of the documents."""
+    some: list = []
+    for block in _blocks(benchmark):
+        some.append(docs.sparkSession.sparkContext.broadcast(block))
+        if len(some) == TOGETHER:
+            yield some
+            some = []
+    if some:
+        yield some
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, n_words, n_equal, item_words: the best overlap of each document (doc_id, text) with each item (item_id, text)."""
     arrow_rows(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     found = None
-    for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    for blocks in _scans(docs, benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 words, first = plain_hashes(*column_bytes(batch.column("text")))
                 rows = []
                 for doc, a, b in zip(batch.column("doc_id").to_pylist(), first[:-1], first[1:], strict=True):
-                    rows += [(doc, *x) for x in shared.value.overlaps(words[a:b])]
+                    rows += [(doc, *x) for block in blocks for x in block.value.overlaps(words[a:b])]
                 if rows:
                     yield pa.record_batch([pa.array(x, type=t.type) for x, t in zip(zip(*rows, strict=True), _RESULT, strict=True)], schema=_RESULT)
 
@@ -173,13 +188,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose text overlaps no benchmark item."""
     arrow_rows(docs.sparkSession)
-    for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    for blocks in _scans(docs, benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 words, first = plain_hashes(*column_bytes(batch.column("text")))
-                clean = [not shared.value.overlaps(words[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                clean = [not any(block.value.overlaps(words[a:b]) for block in blocks) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
