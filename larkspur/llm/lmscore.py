@@ -11,10 +11,12 @@ expected counts, which the scores are set from: each word counts once, since the
 are rare or unseen. A whole word's weight is its count less DISCOUNT, and what is left goes to the spellings.
 
 Words are counted over all training documents in a table that stays distributed; the most frequent BROADCAST_WORDS of it are
-sent to the tasks, and the rest of the documents' words are joined with the table.
+sent to the tasks, and the rest of the documents' words are joined with the table. The frequent ones are those above a count
+that a histogram gives, so that nothing is sorted.
 
 Defined cases: a null or empty text has the end token alone; repeated rows are scored each for itself; without training
-documents all counts are zero and the vocabulary's own scores stay; an empty table gives an empty result; extra columns
+documents all counts are zero and the vocabulary's own scores stay; very long texts and words are scored whole; words of equal
+counts are all frequent or none; an empty table gives an empty result; extra columns
 are not read.
 """
 
@@ -368,6 +370,20 @@ def learn(words: DataFrame, path: str) -> Lattice:
     return lattice
 
 
+def frequent_from(words: DataFrame, most: int | None = None) -> int:
+    """The least count such that at most so many words occur as often; counts are compared by eighths of a doubling."""
+    eighth = F.floor(F.log2("n") * 8).cast("int")
+    left = BROADCAST_WORDS if most is None else most
+    least = None
+    # at most 8 * 63 rows
+    for row in words.where("n > 1").groupBy(eighth.alias("eighth")).agg(F.count("*").alias("c"), F.min("n").alias("least")).orderBy(F.desc("eighth")).collect():
+        left -= row["c"]
+        if left < 0:
+            break
+        least = row["least"]
+    return (1 << 62) if least is None else least
+
+
 def lattice_scores(docs: DataFrame, training: Column, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text).
 
@@ -383,7 +399,7 @@ def lattice_scores(docs: DataFrame, training: Column, path: str | None = None) -
     lattice = learn(words, path or default_vocabulary())
     left = DISCOUNT * v / n if n else 1.0
     stop = float(np.log10((documents - DISCOUNT) / n)) if n else -3.0
-    frequent = words.where("n > 1").select("hash", "n").orderBy(F.desc("n"), "hash").limit(BROADCAST_WORDS).toArrow()
+    frequent = words.where(F.col("n") >= frequent_from(words)).select("hash", "n").toArrow()
     order = np.argsort(frequent.column("hash").to_numpy())
     top_hashes, top_counts = frequent.column("hash").to_numpy()[order], frequent.column("n").to_numpy()[order]
     shared = spark.sparkContext.broadcast((lattice, top_hashes, top_counts))
@@ -411,10 +427,10 @@ def lattice_scores(docs: DataFrame, training: Column, path: str | None = None) -
             sums = np.bincount(owner, base[inverse], rows).astype(float)
             rare = np.flatnonzero(~hit[inverse])
             rare_first = np.searchsorted(owner[rare], np.arange(rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(rare_first), pa.StructArray.from_arrays([pa.array(signed[inverse[rare]]), pa.array(spelt[inverse[rare]].astype(np.float32))], names=["hash", "spelt"]))
+            lists = pa.ListArray.from_arrays(pa.array(rare_first), pa.StructArray.from_arrays([pa.array(signed[inverse[rare]]), pa.array(spelt[inverse[rare]])], names=["hash", "spelt"]))
             yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(first) + 1), pa.array(known), pa.array(sums), pa.array(score), lists], names=["doc_id", "n_tokens", "known", "sums", "score", "rare"])
 
-    schema = "doc_id long, n_tokens long, known long, sums double, score double, rare array<struct<hash: long, spelt: float>>"
+    schema = "doc_id long, n_tokens long, known long, sums double, score double, rare array<struct<hash: long, spelt: double>>"
     arrow_rows(spark)
     rows = docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id())
     rows = cut(fewer(rows))

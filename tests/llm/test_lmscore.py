@@ -128,7 +128,7 @@ def test_scores_match_brute_force_and_prefer_the_corpus(spark):
             score += np.logaddexp(math.log((counts[w] - lmscore.DISCOUNT) / n), spelt) / math.log(10) if counts[w] else spelt / math.log(10)
         want.append((d, score))
     got = sorted((r.doc_id, r.score) for r in lmscore.lattice_scores(docs, F.col("doc_id") % 2 == 1).collect())
-    assert np.allclose([s for _, s in got], [s for _, s in sorted(want)], rtol=1e-5)
+    assert np.allclose([s for _, s in got], [s for _, s in sorted(want)], rtol=1e-9)
 
 
 def test_scores_on_the_corpus(spark):
@@ -137,3 +137,16 @@ def test_scores_on_the_corpus(spark):
     got = lmscore.lattice_scores(docs, ~held).toPandas()
     print(got.score.sum(), got.base_score.sum())
     assert np.isfinite(got.score).all() and np.corrcoef(got.score, got.base_score)[0, 1] > 0.95
+
+
+def test_frequent_words_are_those_above_a_count(spark):
+    counts = [1] * 50 + [2] * 30 + [5] * 20 + [1000] * 3
+    words = spark.createDataFrame(list(enumerate(counts)), "hash long, n long")
+    assert [lmscore.frequent_from(words, most) for most in (1000, 60, 53, 52, 22, 3, 2)] == [2, 2, 2, 5, 1000, 1000, 1 << 62]
+
+
+def test_repeated_rows_and_very_long_texts_score_alike(spark, monkeypatch):
+    rows = [(1, "the cat sat " * 40000), (1, "the cat sat " * 40000), (2, "x" * 100000), (3, "the cat")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_tokens, r.score) for r in lmscore.lattice_scores(docs, F.lit(True)).collect())
+    assert [g[1] for g in got] == [120001, 120001, 2, 3] and got[0] == got[1] and all(np.isfinite(g[2]) for g in got)
