@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from larkspur.session import cut, ensure_checkpoint_dir
 
-__all__ = ["arrow_rows", "cut", "fewer", "remainder", "sent", "stash", "table"]
+__all__ = ["arrow_rows", "cut", "fewer", "free_name", "hot_keys", "remainder", "sent", "stash", "table"]
 
 #: Rows of an Arrow batch at most, so that a batch of long texts fits in a Python worker.
 ARROW_ROWS = 1000
-#: Rows of a table of a few numbers up to which it is sent to the tasks instead of moving texts.
-SENT_ROWS = 300_000
+#: Bytes of a table of a few numbers up to which it is sent to the tasks instead of moving texts.
+SENT_BYTES = 1 << 17
+#: The share of rows in which hot keys are looked for, how often a key has to occur there, and hot keys at most.
+HOT_SHARE, HOT_TIMES, HOT_KEYS = 1 / 64, 512, 20_000
 
 
 def arrow_rows(spark: SparkSession) -> None:
@@ -41,9 +43,30 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def sent(df: DataFrame, rows: int | None = None) -> DataFrame:
+def sent(df: DataFrame, most: int | None = None) -> DataFrame:
     """df, a materialised table of a few numbers a row, with the hint to send it to the tasks if it is small."""
-    return F.broadcast(df) if df.count() <= (SENT_ROWS if rows is None else rows) else df
+    return F.broadcast(df) if df.count() * 8 * (len(df.columns) + 1) <= (SENT_BYTES if most is None else most) else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores added as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def hot_keys(some: DataFrame, key: str) -> DataFrame | None:
+    """The keys that occur most in some, a sample of rows, with a column hot that is true; None if none is frequent.
+
+    This only says which keys to split over tasks; every row is kept whether its key is among them or not. At most
+    HOT_KEYS keys are returned, so the table can be sent to the tasks.
+    """
+    counts = cut(some.groupBy(key).count().where(F.col("count") >= HOT_TIMES))
+    total = counts.agg(F.sum("count")).first()[0]
+    if not total:
+        return None
+    return F.broadcast(counts.where(F.col("count") >= total / HOT_KEYS).select(key, F.lit(True).alias("hot")))
 
 
 def fewer(df: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import arrow_rows, cut, fewer
+from larkspur.llm.common import arrow_rows, cut
 from larkspur.llm.text import column_bytes, directory, slices, span_hashes, splitmix, tables, word_spans
 
 BROADCAST_WORDS = 1 << 17
@@ -433,7 +433,7 @@ def lattice_scores(docs: DataFrame, training: Column, path: str | None = None) -
     schema = "doc_id long, n_tokens long, known long, sums double, score double, rare array<struct<hash: long, spelt: double>>"
     arrow_rows(spark)
     rows = docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id())
-    rows = cut(fewer(rows))
+    rows = cut(rows)
     asked = rows.select("uid", F.explode("rare").alias("r")).groupBy("uid", "r.hash", "r.spelt").agg(F.count("*").alias("times"))
     log = F.log10(F.coalesce("n", F.lit(0)) + 0.5) - F.lit(float(scale))
     both = F.when(F.col("n") > 0, F.log10((F.col("n") - DISCOUNT) / F.lit(float(max(n, 1))) + F.exp("spelt"))).otherwise(F.col("spelt") / float(np.log(10)))

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut
+from larkspur.llm.common import cut, free_name
 
 #: The rules.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -193,14 +193,6 @@ def scan(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *map(count, range(len(KINDS))), _listed(F.filter("found", lambda x: x["rank"] < 3)).alias("base_spans"), _listed(F.col("found")).alias("spans"))
 
 
-def free_name(docs: DataFrame, name: str) -> str:
-    """name, or name with as many underscores as no column of docs has."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with every span of its texts replaced by mask and n_chars set anew; all other columns, and clean rows, as they were."""
     models = fit(docs)

@@ -13,9 +13,11 @@ n - ceil(t * n) + k. The join uses this twice:
   shares as many prefix shingles as the smaller k of the two asks for. Verification counts the exact intersection.
 
 A family larger than BLOCK_SHINGLES is split into blocks, and every pair of blocks is a task of its own, so that no task
-gathers more than two blocks. Links are exact; 64-bit hashes stand for shingles, and for classes.
+gathers more than two blocks; the pairs grow with the square of a family's blocks, as the links within it do. Shingles that a sample
+shows to be very frequent are counted by several tasks each, and come last in prefixes. Links are exact; 64-bit hashes stand
+for shingles, and for classes, of which two in some 10 ** 10 may collide.
 
-Defined cases: null and empty texts have no shingles and link with nothing; a text with fewer words than a shingle is one
+Defined cases: very long texts are one set like others, and a block of their own if need be; sets at exactly the limit link; null and empty texts have no shingles and link with nothing; a text with fewer words than a shingle is one
 shingle; repeated rows are linked like any equal texts; a repeated doc_id with different texts is one document in each of
 their components; an empty table gives an empty result; extra columns are not read.
 """
@@ -26,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import arrow_rows, cut, fewer, sent
+from larkspur.llm.common import HOT_SHARE, arrow_rows, cut, free_name, hot_keys, sent
 from larkspur.llm.components import components
 from larkspur.llm.text import column_bytes, ngram_hashes, slices, splitmix, word_hashes
 
@@ -37,6 +39,8 @@ from larkspur.llm.text import column_bytes, ngram_hashes, slices, splitmix, word
 BLOCK_SHINGLES, BATCH_SHINGLES = 400_000, 200_000
 #: The longest extension of a prefix that is considered.
 LONGEST = 12
+#: Tasks' parts of a hot shingle.
+HOT_PARTS = 256
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,16 +104,34 @@ def prepare(docs: DataFrame, words: int, percent: int, one_in: int) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, room long, sampled array<long>, rest array<long>")
 
 
-def families(rows: DataFrame) -> DataFrame:
+def _tokens(rows: DataFrame) -> Column:
+    """The sampled and the other shingles of a row of prepare()."""
+    mark = lambda counted: lambda t: F.struct(t.alias("token"), F.lit(counted).alias("counted"))
+    return F.concat(F.transform(rows["sampled"], mark(True)), F.transform(rows["rest"], mark(False)))
+
+
+def hot_tokens(docs: DataFrame, words: int, percent: int, one_in: int) -> DataFrame | None:
+    """The shingles that are very frequent in docs, by a sample of its rows."""
+    some = prepare(docs.sample(HOT_SHARE, seed=7), words, percent, one_in).where("n > 0")
+    return hot_keys(some.select(F.explode(_tokens(some)).alias("t")).select("t.token"), "token")
+
+
+def families(rows: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """node and family of the classes that share a prefix shingle with another class, from rows (node, room, sampled, rest).
 
-    Rows of one class count once: a shingle's frequency is the number of classes that have it.
+    Rows of one class count once: a shingle's frequency is the number of classes that have it. The shingles of hot (token, hot) are
+    split over many tasks; their frequency isn't taken, but counts as larger than any other.
     """
-    tokens = F.concat(F.transform("sampled", lambda t: F.struct(t.alias("token"), F.lit(True).alias("counted"))), F.transform("rest", lambda t: F.struct(t.alias("token"), F.lit(False).alias("counted"))))
-    postings = rows.select("node", (F.col("room") - F.size("sampled")).cast("int").alias("spare"), F.explode(tokens).alias("t")).select("node", "spare", "t.token", "t.counted")
-    by_node = Window.partitionBy("token").orderBy("node")
+    spread = rows.select("node", (F.col("room") - F.size("sampled")).cast("int").alias("spare"), F.explode(_tokens(rows)).alias("t"))
+    postings = spread.select("node", "spare", "t.token", "t.counted")
+    if hot is None:
+        postings = postings.withColumn("hot", F.lit(False)).withColumn("part", F.lit(0))
+    else:
+        postings = postings.join(hot, "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        postings = postings.withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(HOT_PARTS))).otherwise(0).cast("int"))
+    by_node = Window.partitionBy("token", "part").orderBy("node")
     numbered = postings.withColumn("nth", F.dense_rank().over(by_node)).withColumn("before", F.lag("node").over(by_node))
-    counted = numbered.withColumn("df", F.max("nth").over(Window.partitionBy("token")))
+    counted = numbered.withColumn("df", F.when(F.col("hot"), F.lit(1 << 40)).otherwise(F.max("nth").over(Window.partitionBy("token", "part"))))
     shared = counted.where("df > 1 AND (before IS NULL OR before <> node)")
     # a class's prefix: its unique counted shingles, then the shared counted ones by frequency, then the rest by hash
     entry = F.struct((~F.col("counted")).alias("late"), F.when(F.col("counted"), F.col("df")).otherwise(0).alias("df"), "token")
@@ -136,7 +158,7 @@ def refined(docs: DataFrame, words: int, percent: int, family: DataFrame, classe
         return family
     texts = docs.select("doc_id", "text").join(sent(members.select("least").distinct()), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
     rows = prepare(texts, words, percent, 1).join(sent(members.select("node")), "node", "left_semi")
-    again = families(rows.select("node", "room", "sampled", "rest"))
+    again = families(rows.select("node", "room", "sampled", "rest"), hot_tokens(texts, words, percent, 1))
     return cut(family.join(large, "family", "left_anti").select("node", "family").unionByName(again))
 
 
@@ -262,9 +284,9 @@ def similarity_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Documents link at 100 * intersection >= percent * union of their sets of words-word shingles.
     """
     rows = prepare(docs, words, percent, counted_share(percent))
-    light = cut(fewer(rows.select("doc_id", "n", "node")))
+    light = cut(rows.select("doc_id", "n", "node"))
     classes = cut(light.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.first("n").alias("n")))
-    family = cut(families(rows.where("n > 0").select("node", "room", "sampled", "rest")))
+    family = cut(families(rows.where("n > 0").select("node", "room", "sampled", "rest"), hot_tokens(docs, words, percent, counted_share(percent))))
     family = refined(docs, words, percent, family, classes)
     weights = family.join(classes.select("node", "least", "size", "n"), "node")
     # at most one family for every BLOCK_SHINGLES of the corpus is in this table
@@ -300,8 +322,9 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     Rows that are equal in doc_id and text become one. Rows without doc_id can't be told apart by what links them, and stay.
     """
     found = cut(similarity_join(docs, words, percent))
-    drop = found.where("component_id < doc_id").select(F.col("doc_id").alias("__drop")).distinct()
-    kept = docs.join(sent(cut(drop)), F.col("doc_id") == F.col("__drop"), "left_anti")
+    gone, text = free_name(docs, "gone"), free_name(docs, "text_hash")
+    drop = found.where("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    kept = docs.join(sent(cut(drop)), F.col("doc_id") == F.col(gone), "left_anti")
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
-    return kept.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    return kept.withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).drop(text)

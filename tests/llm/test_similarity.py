@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from larkspur.llm import similarity
+from larkspur.llm import common, similarity
 from larkspur.llm.components import components
 
 
@@ -74,6 +74,43 @@ def test_split_families_match_brute_force(spark, monkeypatch):
     assert got == brute(rows, 3, 90)
 
 
+def test_hot_shingles_and_shuffled_tables_match_brute_force(spark, monkeypatch):
+    rows = corpus(4, 150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(similarity, "HOT_SHARE", 1.0)
+    monkeypatch.setattr(common, "HOT_TIMES", 4)
+    monkeypatch.setattr(common, "SENT_BYTES", 0)
+    monkeypatch.setattr(similarity, "BLOCK_SHINGLES", 1500)
+    assert similarity.hot_tokens(docs, 3, 90, 6).count() > 20
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in similarity.similarity_join(docs, 3, 90).collect()}
+    assert got == brute(rows, 3, 90)
+
+
+def test_hot_keys_are_bounded(spark, monkeypatch):
+    rows = spark.createDataFrame([(k,) for k in range(40) for _ in range(k)], "token long")
+    monkeypatch.setattr(common, "HOT_TIMES", 10)
+    assert {r.token for r in common.hot_keys(rows, "token").collect()} == set(range(10, 40))
+    monkeypatch.setattr(common, "HOT_KEYS", 25)
+    assert 0 < common.hot_keys(rows, "token").count() <= 25 and common.hot_keys(rows.where("token < 5"), "token") is None
+
+
+def test_very_long_texts_and_the_exact_limit(spark):
+    long = " ".join(f"w{k}" for k in range(60000))
+    same = [f"x{k}" for k in range(39)]
+    rows = [(1, long), (2, long + " more"), (3, " ".join(same)), (4, " ".join([*same[:37], "other", "words"])), (5, " ".join(same[:-1])), (6, "y " * 50000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in similarity.similarity_join(docs, 3, 90).collect()}
+    assert got == brute(rows, 3, 90) and got[2][1] == 1 and got[6][0] == 1
+
+
+def test_one_of_each_keeps_clashing_columns(spark):
+    schema = "doc_id long, text string, gone string, text_hash long, __drop int, __hash int, node string"
+    docs = spark.createDataFrame([(1, "a b c d e f", "g", 2, 3, 4, "n"), (1, "a b c d e f", "g", 2, 3, 4, "n"), (2, "a b c d e f", "g", 2, 3, 4, "n"), (3, "other", "g", 2, 3, 4, "n")], schema)
+    kept = similarity.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, "a b c d e f", "g", 2, 3, 4, "n"), (3, "other", "g", 2, 3, 4, "n")]
+    assert similarity.one_of_each(docs.where("false")).collect() == []
+
+
 def test_adaptive_links_match_brute_force():
     for seed in range(6):
         rows = corpus(10 + seed, 100)
