@@ -48,6 +48,7 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.said("edited_fp").alias("edited_fingerprint"),
         fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        "n_near",
     )
 
 

@@ -63,3 +63,27 @@ def test_neighbours_match_brute_force(spark):
     got = {(r.query_id, r.doc_id, r.distance) for r in fp.neighbours(queries, docs, 3).collect()}
     want = {(q, d, n) for q in range(0, len(all_fps), 5) for d, y in enumerate(all_fps) if (n := ((all_fps[q] ^ y) & ((1 << 64) - 1)).bit_count()) <= 3}
     assert got == want
+
+
+def test_counts_of_neighbours_match_brute_force(spark):
+    rng = random.Random(6)
+    base = words(rng, 40)
+    texts = [base] * 30 + [base + f" {k}" for k in range(40)] + [words(rng, 30) for _ in range(60)] + ["", None]
+    rows = [(i * 5, t) for i, t in enumerate(texts)] + [(0, base), (None, base)]
+    got = run(spark, rows)
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is None or r.doc_id % 50:
+            assert r.n_near is None
+        else:
+            assert r.n_near == sum(((r.fp ^ o.fp) & ((1 << 64) - 1)).bit_count() <= fp.RADIUS for o in got) - 1
+    assert max(r.n_near or 0 for r in got) >= 30
+
+
+def test_very_long_texts_and_ties_of_votes(spark):
+    long = "alpha beta " * 150000
+    got = {r.doc_id: r for r in run(spark, [(1, long), (2, long), (3, "alpha beta")])}
+    assert got[1].fp == got[2].fp and got[1].n_chars == len(long)
+    one, two = (spark.range(1).select(F.xxhash64(F.lit(a), F.lit(b)).alias("h")).first().h for a, b in (("a", "b"), ("b", "c")))
+    tied = fp.simhash(spark.createDataFrame([(1, "a b c")], "k long, text string"), ["k"]).first().fp
+    assert tied & ((1 << 64) - 1) == one & two & ((1 << 64) - 1)
