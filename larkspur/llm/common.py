@@ -14,7 +14,7 @@ __all__ = ["arrow_rows", "cut", "fewer", "free_name", "hot_keys", "remainder", "
 #: Rows of an Arrow batch at most, so that a batch of long texts fits in a Python worker.
 ARROW_ROWS = 1000
 #: Bytes of a table of a few numbers up to which it is sent to the tasks instead of moving texts.
-SENT_BYTES = 1 << 17
+SENT_BYTES = 1 << 14
 #: The share of rows in which hot keys are looked for, how often a key has to occur there, and hot keys at most.
 HOT_SHARE, HOT_TIMES, HOT_KEYS = 1 / 64, 512, 20_000
 

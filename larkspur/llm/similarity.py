@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import HOT_SHARE, arrow_rows, cut, free_name, hot_keys, sent
+from larkspur.llm.common import HOT_SHARE, arrow_rows, cut, free_name, hot_keys, sent, stash
 from larkspur.llm.components import components
 from larkspur.llm.text import column_bytes, ngram_hashes, slices, splitmix, word_hashes
 
@@ -73,16 +73,21 @@ def _lists(values: np.ndarray, begin: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values))
 
 
-def prepare(docs: DataFrame, words: int, percent: int, one_in: int) -> DataFrame:
+def prepare(docs: DataFrame, words: int, percent: int, one_in: int, known: bool = False) -> DataFrame:
     """doc_id, n, node, room, sampled, rest for every row: the set's size and hash, and its shingles for blocking.
 
-    room is the length of the one-match prefix; sampled are the set's shingles of the counted share, one in so many; rest are
+    If known, docs has a column node, and only rows whose set has that hash are returned. room is the length of the one-match prefix; sampled are the set's shingles of the counted share, one in so many; rest are
     the first others by hash, as many as the prefix can need.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             grams, begin = shingle_sets(batch.column("text"), words)
+            if known:
+                same = digests(grams, begin) == batch.column("node").to_numpy()
+                batch = batch.filter(pa.array(same))
+                sizes = np.diff(begin)
+                grams, begin = grams[np.repeat(same, sizes)], np.concatenate([[0], np.cumsum(sizes[same])])
             n = np.diff(begin)
             room = n - (percent * n + 99) // 100 + 1
             sampled = splitmix(grams) % share == 0
@@ -101,7 +106,7 @@ def prepare(docs: DataFrame, words: int, percent: int, one_in: int) -> DataFrame
 
     share = np.uint64(one_in)
     arrow_rows(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, room long, sampled array<long>, rest array<long>")
+    return docs.select("doc_id", "text", *(["node"] if known else [])).mapInArrow(run, "doc_id long, n long, node long, room long, sampled array<long>, rest array<long>")
 
 
 def _tokens(rows: DataFrame) -> Column:
@@ -110,9 +115,9 @@ def _tokens(rows: DataFrame) -> Column:
     return F.concat(F.transform(rows["sampled"], mark(True)), F.transform(rows["rest"], mark(False)))
 
 
-def hot_tokens(docs: DataFrame, words: int, percent: int, one_in: int) -> DataFrame | None:
+def hot_tokens(docs: DataFrame, words: int, percent: int, one_in: int, known: bool = False) -> DataFrame | None:
     """The shingles that are very frequent in docs, by a sample of its rows."""
-    some = prepare(docs.sample(HOT_SHARE, seed=7), words, percent, one_in).where("n > 0")
+    some = prepare(docs.sample(HOT_SHARE, seed=7), words, percent, one_in, known).where("n > 0")
     return hot_keys(some.select(F.explode(_tokens(some)).alias("t")).select("t.token"), "token")
 
 
@@ -145,20 +150,20 @@ def families(rows: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     return components(prefixes.join(stars, "token").select(F.col("node").alias("a"), "b")).select("node", F.col("label").alias("family"))
 
 
-def refined(docs: DataFrame, words: int, percent: int, family: DataFrame, classes: DataFrame) -> DataFrame:
-    """The families with those of more than a block made anew from the frequencies of all their shingles.
+def refined(texts: DataFrame, words: int, percent: int, family: DataFrame, classes: DataFrame) -> DataFrame:
+    """The families with those of more than a block made anew from the frequencies of all their shingles; texts are (doc_id, text, node).
 
     Among the members of large families every shingle is counted, so that a member's own shingles fill its prefix
     and it leaves the family, unless few of them are its own.
     """
-    sizes = family.join(classes.select("node", "least", "n"), "node")
+    sizes = family.join(classes.select("node", "n"), "node")
     large = sent(cut(sizes.groupBy("family").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_SHINGLES).select("family")))
-    members = cut(sizes.join(large, "family").select("node", "least"))
+    members = cut(family.join(large, "family").select("node"))
     if members.isEmpty():
         return family
-    texts = docs.select("doc_id", "text").join(sent(members.select("least").distinct()), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-    rows = prepare(texts, words, percent, 1).join(sent(members.select("node")), "node", "left_semi")
-    again = families(rows.select("node", "room", "sampled", "rest"), hot_tokens(texts, words, percent, 1))
+    theirs = stash(texts.join(sent(members), "node", "left_semi"))
+    rows = prepare(theirs, words, percent, 1, True)
+    again = families(rows.select("node", "room", "sampled", "rest"), hot_tokens(theirs, words, percent, 1, True))
     return cut(family.join(large, "family", "left_anti").select("node", "family").unionByName(again))
 
 
@@ -287,7 +292,10 @@ def similarity_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     light = cut(rows.select("doc_id", "n", "node"))
     classes = cut(light.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.first("n").alias("n")))
     family = cut(families(rows.where("n > 0").select("node", "room", "sampled", "rest"), hot_tokens(docs, words, percent, counted_share(percent))))
-    family = refined(docs, words, percent, family, classes)
+    # the texts of families' members, one of each class, are put aside once; all others stay where they are
+    named = cut(family.join(classes.select("node", "least"), "node").select("node", F.col("least").alias("doc")))
+    texts = stash(docs.select("doc_id", "text").join(sent(named), F.col("doc_id").eqNullSafe(F.col("doc"))).select("doc_id", "text", "node"))
+    family = refined(texts, words, percent, family, classes)
     weights = family.join(classes.select("node", "least", "size", "n"), "node")
     # at most one family for every BLOCK_SHINGLES of the corpus is in this table
     split = weights.groupBy("family").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_SHINGLES).select("family", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("p"))
@@ -296,10 +304,10 @@ def similarity_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     block = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(0).cast("int")
     tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))
     placed = member.withColumn("block", block).withColumn("task", F.explode(tasks)).select(
-        F.col("least").alias("__least"), "node", "size", "n", "block", F.xxhash64("family", "task.low", "task.high").alias("key"),
+        "node", "size", "n", "block", F.xxhash64("family", "task.low", "task.high").alias("key"),
         F.when(F.col("parts") == 1, 0).when(F.col("task.low") == F.col("task.high"), 1).otherwise(2).alias("kind"),
     )
-    members = docs.select("doc_id", "text").join(sent(cut(placed)), F.col("doc_id").eqNullSafe(F.col("__least")))
+    members = texts.select("text", "node").join(sent(cut(placed)), "node")
     found = cut(join_blocks(members, words, percent))
     labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
