@@ -111,10 +111,11 @@ def _trimmed(column: Column, kind: T.DataType, tree: Any, pk: str) -> Column:
     return column
 
 
-def distinct(df: DataFrame, path: str, filter: Mapping[str, Any] | None = None, sort: int | None = None, skip: int = 0, take: int | None = None) -> DataFrame:  # noqa: A002
+def distinct(df: DataFrame, path: str, filter: Mapping[str, Any] | None = None, sort: int | None = None, skip: int = 0, take: int | None = None, by: str | None = None) -> DataFrame:  # noqa: A002
     """value: the distinct non-null values at a path, through arrays; a leaf array counts by its elements.
 
-    A missing field has none. sort is 1 or -1; pages without it follow ascending order where values have one.
+    A missing field has none. sort is 1 or -1; pages without it follow ascending order where values have one. Values that are
+    documents are sorted by the path by inside them, where that is missing first, and then as wholes.
     """
     rows = matching(df, filter)
     kind: T.DataType = df.schema
@@ -131,7 +132,8 @@ def distinct(df: DataFrame, path: str, filter: Mapping[str, Any] | None = None,
         out, kind = out.select(F.explode("value").alias("value")), kind.elementType
     out = out.where(F.col("value").isNotNull()).distinct()
     if (sort is not None or skip or take is not None) and not isinstance(kind, T.MapType):
-        out = out.orderBy(F.col("value").asc() if (sort or 1) > 0 else F.col("value").desc())
+        keys = sort_keys(out, [(f"value.{by}", sort or 1)]) if by else []
+        out = out.orderBy(*keys, F.col("value").asc() if (sort or 1) > 0 else F.col("value").desc())
     return paged(out, skip, take)
 
 

@@ -2,15 +2,17 @@
 
 A validator gets a document and returns True, or False or a reason to reject it. A trigger gets a context and an event
 {"action": ..., "doc": ...}; the context reads and writes documents of the same namespace within the transaction, without
-validators and triggers. Hooks run on the driver over the affected rows, which are streamed to it.
+validators and triggers. Triggers run on the driver over the affected rows, which are streamed to it, since they write; validators
+only look at a document, and run on the executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from larkspur.errors import HookError
@@ -56,12 +58,35 @@ def rows_of(df: DataFrame) -> Iterable[dict[str, Any]]:
         yield row.asDict(recursive=True)
 
 
-def validate(hooks: Hooks, docs: Iterable[dict[str, Any]]) -> None:
-    for doc in docs:
-        for name, check in sorted(hooks.validators.items()):
+def _rejection(validators: list[tuple[str, Validator]], doc: dict[str, Any]) -> str | None:
+    for name, check in validators:
+        try:
             said = check(doc)
-            if said is False or isinstance(said, str):
-                raise HookError(f"validator {name} rejects a document" + (f": {said}" if isinstance(said, str) else ""))
+        except Exception as e:  # noqa: BLE001
+            return f"validator {name} failed: {e}"
+        if said is False or isinstance(said, str):
+            return f"validator {name} rejects a document" + (f": {said}" if isinstance(said, str) else "")
+    return None
+
+
+def validate(hooks: Hooks, docs: DataFrame) -> None:
+    """Raise HookError for a document of docs that a validator rejects; only one rejection comes to the driver."""
+    validators = sorted(hooks.validators.items())
+    if any(t in kind for _, kind in docs.dtypes for t in ("variant", "map<", "void")):
+        found = next((r for r in (_rejection(validators, doc) for doc in rows_of(docs)) if r), None)
+    else:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                said = next((r for r in (_rejection(validators, doc) for doc in batch.to_pylist()) if r), None)
+                if said:
+                    yield pa.record_batch([pa.array([said])], names=["said"])
+                    return
+
+        first = docs.mapInArrow(run, "said string").first()
+        found = first["said"] if first else None
+    if found:
+        raise HookError(found)
 
 
 def fire(hooks: Hooks, context: Context, action: str, docs: Iterable[dict[str, Any]]) -> None:

@@ -8,6 +8,7 @@ and $rename leave null.
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -247,15 +248,15 @@ def update_one(df: DataFrame, filter: Mapping[str, Any], said: Mapping[str, Any]
     return apply_update(marked, said, F.col("__hit"), pk)[0].drop("__hit")
 
 
-def documents(spark, rows: Sequence[Mapping[str, Any]] | DataFrame, pk: str = "_id", generate: bool = False) -> DataFrame:  # noqa: ANN001
-    """Caller's documents as a DataFrame with the primary key first or where it stands; a missing key is generated if asked."""
+def documents(spark, rows: Sequence[Mapping[str, Any] | str] | DataFrame, pk: str = "_id", generate: bool = False) -> DataFrame:  # noqa: ANN001
+    """Caller's documents as a DataFrame with the primary key first or where it stands; a missing key is generated if asked. Documents may be JSON texts."""
     if isinstance(rows, DataFrame):
         if pk not in rows.columns:
             if not generate:
                 raise InvalidKey(f"the documents have no {pk}")
             rows = rows.withColumn(pk, F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 24))
         return rows
-    rows = [dict(r) for r in rows]
+    rows = [dict(json.loads(r) if isinstance(r, (str, bytes)) else r) for r in rows]
     for r in rows:
         if r.get(pk) is None:
             if not generate:
@@ -322,21 +323,29 @@ def delete_one(df: DataFrame, filter: Mapping[str, Any], pk: str = "_id") -> Dat
     return df.join(F.broadcast(first_match(df, filter, pk)), F.col(quoted(pk)) == F.col("__first"), "left_anti")
 
 
-def insert_many(df: DataFrame, new: DataFrame, pk: str = "_id") -> DataFrame:
-    """df and new; DuplicateKey if a primary key of new is null, twice in new, or in df. The check is an action."""
+def check_new(df: DataFrame, new: DataFrame, pk: str = "_id") -> None:
+    """DuplicateKey if a primary key of new is null, twice in new, or in df. An action."""
     keys = new.groupBy(F.col(quoted(pk)).alias("k")).agg(F.count("*").alias("c"))
     here = df.select(F.col(quoted(pk)).alias("k"))
     bad = keys.where("c > 1 OR k IS NULL").select("k").unionByName(keys.select("k").join(here, "k", "left_semi")).limit(1).collect()
     if bad:
         raise DuplicateKey(f"{pk} {bad[0]['k']!r}")
+
+
+def insert_many(df: DataFrame, new: DataFrame, pk: str = "_id") -> DataFrame:
+    """df and new; DuplicateKey if a primary key of new is null, twice in new, or in df. The check is an action."""
+    check_new(df, new, pk)
     a, b = aligned(df, new)
     return a.unionByName(b)
 
 
 def last_of_each(new: DataFrame, pk: str, order: str | None = None) -> DataFrame:
-    """The last row of each primary key by the column order, which goes; without it, rows of a key must be equal but for chance."""
+    """The last row of each primary key by the column order, which goes; without it a key that stands twice is a DuplicateKey (an action)."""
     if order is None:
-        return new.dropDuplicates([pk])
+        twice = new.groupBy(F.col(quoted(pk)).alias("k")).agg(F.count("*").alias("c")).where("c > 1").limit(1).collect()
+        if twice:
+            raise DuplicateKey(f"{pk} {twice[0]['k']!r} stands twice in the batch, and no column says which row is the last")
+        return new
     last = Window.partitionBy(quoted(pk)).orderBy(F.col(quoted(order)).desc())
     return new.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", order)
 

@@ -479,3 +479,115 @@ def transaction_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.sources.demo import committed_changes
 
     return committed_changes(spark, table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+# Stores: keyed writes with triggers, batches, expiry, catalog, ranges, hooks
+
+
+@query("SELECT * FROM (VALUES ('3:updating', (SELECT n_name FROM nation WHERE n_nationkey = 3)), ('3:updated', 'NEW 3'), ('500:inserting', 'NEW 500'), ('500:inserted', 'NEW 500'), ('1003', 'copy'), ('1500', 'copy')) t(_id, name)")
+def trigger_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.sources.demo import upserted_with_trigger
+
+    return upserted_with_trigger(spark, table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+
+
+@query("SELECT r_regionkey || ':updating' AS _id FROM region WHERE r_regionkey IN (1, 2) UNION ALL SELECT r_regionkey || ':updated' FROM region WHERE r_regionkey = 2 OR (r_regionkey = 1 AND r_name <> 'AMERICA')")
+def merge_noop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.sources.demo import merged_without_change
+
+    return merged_without_change(spark, table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+
+
+@query("SELECT o_custkey, coalesce(max_by(o_totalprice, o_orderkey) FILTER (o_orderkey % 2 = 0), max_by(o_totalprice, o_orderkey)) AS o_totalprice FROM orders GROUP BY o_custkey")
+def upsert_batch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.sources.demo import upserted_by_order
+
+    return upserted_by_order(spark, table(spark, sf_dir, "orders"))
+
+
+_LATER = dt.datetime(2024, 1, 28, tzinfo=dt.timezone.utc)
+
+
+@query(
+    "SELECT count(*) FILTER (NOT ts + INTERVAL 7 DAYS < TIMESTAMP '2024-01-28 00:00:00') AS left_over, count(*) FILTER (ts + INTERVAL 7 DAYS < TIMESTAMP '2024-01-20 00:00:00') AS purged, "
+    "count(*) FILTER (ts + INTERVAL 7 DAYS >= TIMESTAMP '2024-01-20 00:00:00' AND ts + INTERVAL 7 DAYS < TIMESTAMP '2024-01-28 00:00:00') AS purged_before FROM events"
+)
+def ttl_purges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.sources.demo import purged
+
+    return purged(spark, expiring(spark, sf_dir), _NOW, _LATER)
+
+
+@query(
+    "SELECT place, name, indexes, CASE WHEN name = 'default_cf/a' THEN (SELECT count(*) FROM region) ELSE 0 END AS documents FROM (VALUES ('store', 'default_cf/a', 'r_name,ttl'), ('store', 'other/a', 'ttl'), "
+    "('backup', 'default_cf/a', 'r_name,ttl'), ('backup', 'default_cf/c', 'ttl'), ('backup', 'other/a', 'ttl')) t(place, name, indexes)"
+)
+def catalog_and_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.sources.demo import catalogued
+
+    return catalogued(spark, table(spark, sf_dir, "region"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE NOT (n_nationkey >= 2 AND n_nationkey < 4) AND NOT (n_nationkey > 6 AND n_nationkey <= 8) AND n_nationkey < 22 AND n_nationkey >= 1")
+def delete_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.sources.demo import ranges_deleted
+
+    return ranges_deleted(spark, table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+
+
+@query("SELECT * FROM (VALUES (0, 'a', 'inserting'), (1, 'z', 'inserting'), (2, 'a', 'inserted'), (3, 'z', 'inserted'), (4, 'a', 'updating'), (5, 'z', 'updating'), (6, 'a', 'updated'), (7, 'z', 'updated'), (8, 'a', 'deleting'), (9, 'a', 'deleted'), (10, 'udf', 'UDF!')) t(turn, name, action)")
+def hook_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.sources.demo import hooks_in_order
+
+    return hooks_in_order(spark)
+
+
+# Distinct documents by a field, projection through scalars, literals, and scalar functions
+
+
+@query("SELECT o_orderpriority || '|' || o_orderstatus AS value FROM (SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders ORDER BY o_orderpriority DESC, o_orderstatus DESC LIMIT 7)")
+def distinct_docs_sorted_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).alias("kind"))
+    return distinct(docs, "kind", sort=-1, take=7, by="priority").select(F.concat_ws("|", "value.priority", "value.status").alias("value"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3")
+def project_branch_over_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(table(spark, sf_dir, "customer"), {"c_nationkey": 3}, FindOptions(columns=["c_name.first.letter"]), "c_custkey")
+
+
+@query("SELECT c_custkey, c_acctbal > 5000 AS rich FROM customer WHERE c_acctbal > 5000")
+def find_bool_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = table(spark, sf_dir, "customer").withColumn("rich", F.col("c_acctbal") > 5000)
+    return find(rich, {"rich": True}, FindOptions(columns=["rich"]), "c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey = 7")
+def find_eq_parsable_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(table(spark, sf_dir, "customer"), {"c_nationkey": "7"}, FindOptions(columns=[]), "c_custkey")
+
+
+@query("SELECT r_regionkey FROM region WHERE r_regionkey = 2")
+def find_added_field_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = M.update_many(table(spark, sf_dir, "region"), {"r_regionkey": 2}, {"r_mark": "x"}, "r_regionkey")
+    return find(marked, {"r_mark": "x"}, FindOptions(columns=[]), "r_regionkey")
+
+
+@query("SELECT DISTINCT p_size AS value FROM part")
+def distinct_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct(table(spark, sf_dir, "part"), "p_size")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_orderkey + l_linenumber AS DOUBLE) AS total, l_quantity + 0.5 AS half FROM lineitem")
+def scalar_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", scalars.add(F.col("l_orderkey"), F.col("l_linenumber")).alias("total"), (F.col("l_quantity") + 0.5).alias("half"))
+
+
+@query("SELECT event_id, printf('%024x', event_id) AS hex, 12 AS n, true AS is_id, false AS is_not, true AS is_time FROM events")
+def scalar_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("oid", scalars.objectid(F.lower(F.lpad(F.hex("event_id"), 24, "0"))))
+    return rows.select(
+        "event_id", scalars.hex_of(F.col("oid")).alias("hex"), scalars.length_of(F.col("oid")).alias("n"), scalars.is_objectid(F.col("oid")).alias("is_id"),
+        scalars.is_objectid(scalars.binary(F.col("event_type"))).alias("is_not"), scalars.is_datetime(F.col("ts")).alias("is_time"),
+    )

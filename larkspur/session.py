@@ -27,11 +27,15 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that spark.checkpoint.dir names; only where it is unset (tests) a folder of our own."""
+    """Use the folder that spark.checkpoint.dir names; only where it is unset, and all runs on this machine (tests), a folder of our own."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isDefined():
         return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="larkspur-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -29,20 +32,38 @@ class Folder:
             stream.close()
 
     def create(self, name: str, text: str) -> bool:
-        """Write a new file at once; False if one of that name is there already."""
-        part = self.path(f"{name}.{self.jvm.java.util.UUID.randomUUID().toString()}.part")
-        stream = self.fs.create(part, True)
+        """Write a new file; False if one of that name is there already, also if several writers try at once.
+
+        Local disks link a finished file to the name and HDFS renames it, both of which fail where the name is taken;
+        other stores are asked to create the name only if it isn't there.
+        """
+        target, scheme = self.path(name), self.fs.getUri().getScheme()
+        if scheme not in ("file", "hdfs", "viewfs"):
+            try:
+                build = self.fs.createFile(target)
+                build.overwrite(False)
+                build.opt("fs.option.create.conditional.overwrite", True)
+                return self._write(build.build(), text)
+            except Py4JJavaError:
+                return False
+        part = self.path(f"{name}.{uuid.uuid4().hex}.part")
+        self._write(self.fs.create(part, True), text)
+        try:
+            if scheme == "file":
+                self.jvm.java.nio.file.Files.createLink(*(self.jvm.java.io.File(p.toUri().getPath()).toPath() for p in (target, part)))
+                return True
+            return bool(self.fs.rename(part, target))
+        except Py4JJavaError:
+            return False
+        finally:
+            self.fs.delete(part, False)
+
+    @staticmethod
+    def _write(stream, text: str) -> bool:  # noqa: ANN001
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        try:
-            if self.fs.exists(self.path(name)) or not self.fs.rename(part, self.path(name)):
-                self.fs.delete(part, False)
-                return False
-        except Exception:
-            self.fs.delete(part, False)
-            return False
         return True
 
     def delete(self, name: str) -> None:

@@ -1,12 +1,14 @@
 """A document database over Parquet snapshots: catalog, transactions, hooks, expiry, backup.
 
-Every commit is a manifest, a numbered JSON file that names each collection's snapshot folder. A transaction reads the
-manifest it began with; its writes go to new folders, and commit creates the next manifest, which fails if another writer was
-faster. So commits are atomic over collections, and readers never see a part of one.
+Every commit is a manifest, a numbered JSON file that names each collection's files. A transaction reads the manifest it began
+with. An insert adds files; other statements write only those files anew that hold a document they touch, which the scan of
+the matches tells. Commit creates the next manifest; if another writer was faster, it is put on top of theirs if they
+changed none of its collections, and fails otherwise. So commits are atomic over collections, and readers never see a part of one.
 """
 
 from __future__ import annotations
 
+import copy
 import datetime as dt
 import json
 import threading
@@ -16,6 +18,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.errors import CollectionNotFound, DuplicateKey, FunctionExists, IndexExists, InvalidKey, ReadOnly, StoreError
 from larkspur.functions.compile import quoted
@@ -23,11 +26,15 @@ from larkspur.functions.filters import parse_filter
 from larkspur.operators import find as R
 from larkspur.operators import mutate as M
 from larkspur.operators.hooks import Context, Hooks, Trigger, Validator, fire, rows_of, validate
+from larkspur.session import ensure_checkpoint_dir
 from larkspur.sources.files import Folder
 from larkspur.sources.ttl import expired, visible
 
 DEFAULT = "default_cf"
-Documents = Mapping[str, Any] | Sequence[Mapping[str, Any]] | DataFrame
+Documents = Mapping[str, Any] | str | Sequence[Mapping[str, Any] | str] | DataFrame
+#: Commits that are put on top of others' before one gives up.
+TURNS = 20
+_FILE = "__file"
 
 
 class Cursor:
@@ -55,9 +62,17 @@ class Cursor:
 
 
 class Database:
-    """A store below a root path. clock gives the time that expiry is measured by; sweep_seconds purges in the background."""
+    """A store below a root path. clock gives the time that expiry is measured by; sweep_seconds purges in the background.
 
-    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], dt.datetime] | None = None, sweep_seconds: float | None = None, scripting: bool = True) -> None:
+    Without a root the store lives in the checkpoint folder until shutdown(). The statements of a transaction can be called on the
+    database too: each is then a transaction of its own.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, clock: Callable[[], dt.datetime] | None = None, sweep_seconds: float | None = None, scripting: bool = True) -> None:
+        self.passing = root is None
+        if root is None:
+            ensure_checkpoint_dir(spark)
+            root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/store-{uuid.uuid4().hex}"
         self.spark, self.root = spark, root.rstrip("/")
         self.folder = Folder(spark, self.root)
         self.clock = clock or (lambda: dt.datetime.now(dt.timezone.utc))
@@ -95,19 +110,25 @@ class Database:
         if other.names("manifests"):
             raise StoreError(f"{root} has a store already")
         for meta in manifest["collections"].values():
-            if meta["data"]:
-                self.folder.copy_to(meta["data"], other)
+            for name in meta["files"]:
+                self.folder.copy_to(name, other)
         if version:
             other.create(f"manifests/m{version:010d}.json", json.dumps(manifest))
 
     def vacuum(self) -> None:
         """Delete the folders and manifests that only past snapshots need; running readers of those fail."""
         version, manifest = self.manifest()
-        kept = {m["data"] for m in manifest["collections"].values()}
+        kept = {f for m in manifest["collections"].values() for f in m["files"]}
+        folders = {f.rsplit("/", 1)[0] for f in kept}
         for cf in self.folder.names("data"):
             for name in self.folder.names(f"data/{cf}"):
-                if f"data/{cf}/{name}" not in kept:
-                    self.folder.delete(f"data/{cf}/{name}")
+                here = f"data/{cf}/{name}"
+                if here not in folders:
+                    self.folder.delete(here)
+                    continue
+                for file in self.folder.names(here):
+                    if file.endswith(".parquet") and f"{here}/{file}" not in kept:
+                        self.folder.delete(f"{here}/{file}")
         for v in self._versions():
             if v != version:
                 self.folder.delete(f"manifests/m{v:010d}.json")
@@ -122,6 +143,25 @@ class Database:
 
     def shutdown(self) -> None:
         self._stop.set()
+        if self.passing:
+            self.folder.delete("")
+
+    def _alone(self, statement: str, *args: Any, **options: Any) -> Any:
+        """One statement as a transaction: what a read finds, or how many documents a write met."""
+        writes = statement not in ("find_one", "count", "distinct")
+        with self.begin(not writes) as txn:
+            done = getattr(txn, statement)(*args, **options)
+            return done.drain() if isinstance(done, Cursor) else done
+
+    def find(self, name: str, *args: Any, **options: Any) -> DataFrame:
+        return self.begin(True).find(name, *args, **options).docs()
+
+
+for _statement in (
+    "find_one count distinct insert_one insert_many update_one update_many replace_one delete_one delete_many upsert_many merge_many delete_range "
+    "create_collection drop_collection create_index drop_index register_validator register_trigger register_udf drop_validator drop_trigger drop_udf"
+).split():
+    setattr(Database, _statement, lambda self, *args, _statement=_statement, **options: self._alone(_statement, *args, **options))
 
 
 class Transaction:
@@ -130,6 +170,7 @@ class Transaction:
     def __init__(self, db: Database, read_only: bool) -> None:
         self.db, self.read_only = db, read_only
         self.version, self.meta = db.manifest()
+        self.began = copy.deepcopy(self.meta)
         self.now = db.clock()
         self.hooks = {k: h.copy() for k, h in db.hooks.items()}
         self.fresh_hooks: dict[str, Hooks] = {k: h.copy() for k, h in db.hooks.items()}
@@ -156,7 +197,7 @@ class Transaction:
         if "." in pk:
             raise InvalidKey("the primary key is a top-level field")
         if f"{cf}/{name}" not in self.meta["collections"]:
-            self.meta["collections"][f"{cf}/{name}"] = {"pk": pk, "ttl": ttl, "indexes": [ttl], "functions": {}, "data": None}
+            self.meta["collections"][f"{cf}/{name}"] = {"pk": pk, "ttl": ttl, "indexes": [ttl], "functions": {}, "files": [], "schema": None}
             self.dirty = True
 
     def drop_collection(self, name: str, cf: str = DEFAULT) -> None:
@@ -231,16 +272,27 @@ class Transaction:
 
     # reads
 
-    def _stored(self, cf: str, name: str) -> DataFrame | None:
-        data = self._entry(cf, name)["data"]
-        return self.db.spark.read.parquet(f"{self.db.root}/{data}") if data else None
+    def _stored(self, cf: str, name: str, files: Sequence[str] | None = None) -> DataFrame:
+        """The documents in some files (all, if None), expired ones too."""
+        entry = self._entry(cf, name)
+        schema = T.StructType.fromJson(entry["schema"]) if entry["schema"] else T.StructType([T.StructField(entry["pk"], T.StringType())])
+        names = entry["files"] if files is None else files
+        if not names:
+            return self.db.spark.createDataFrame([], schema)
+        return self.db.spark.read.schema(schema).parquet(*(f"{self.db.root}/{f}" for f in names))
 
     def frame(self, name: str, cf: str = DEFAULT) -> DataFrame:
         """The collection's live documents."""
-        df, entry = self._stored(cf, name), self._entry(cf, name)
-        if df is None:
-            return self.db.spark.createDataFrame([], f"`{entry['pk']}` string")
-        return visible(df, entry["ttl"], self.now)
+        return visible(self._stored(cf, name), self._entry(cf, name)["ttl"], self.now)
+
+    def _files_of(self, cf: str, name: str, rows: Callable[[DataFrame], DataFrame]) -> tuple[list[str], int]:
+        """The files that hold the rows that rows picks of the stored documents, and how many rows they are."""
+        entry = self._entry(cf, name)
+        if not entry["files"]:
+            return [], 0
+        named = self._stored(cf, name).withColumn(_FILE, F.col("_metadata.file_name"))
+        counts = {r[_FILE]: r["count"] for r in rows(named).groupBy(_FILE).count().collect()}
+        return [f for f in entry["files"] if f.rsplit("/", 1)[1] in counts], sum(counts.values())
 
     def find(self, name: str, filter: Mapping[str, Any] | None = None, options: R.FindOptions | None = None, cf: str = DEFAULT) -> Cursor:  # noqa: A002
         df, pk = self.frame(name, cf), self._entry(cf, name)["pk"]
@@ -258,16 +310,40 @@ class Transaction:
 
     # writes
 
-    def _publish(self, cf: str, name: str, df: DataFrame) -> None:
-        """Write a snapshot of the collection for this transaction, laid out by its index hints."""
+    def _publish(self, cf: str, name: str, touched: Sequence[str], rest: Callable[[DataFrame], DataFrame], add: DataFrame | None) -> None:
+        """New files with what rest leaves of the live documents in the touched files, and with add; untouched files stay.
+
+        Fields that are new are null in files that stay. Where a field's type has to be widened, all files are touched. New files
+        are laid out by the collection's index hints: dealt by ranges of them and sorted, so that their statistics prune reads.
+        """
         entry = self._entry(cf, name)
-        hints = [x for x in entry["indexes"] if x != entry["ttl"] and "[]" not in x and "." not in x and x in df.columns]
+        known = T.StructType.fromJson(entry["schema"]) if entry["schema"] else None
+
+        def result(files: Sequence[str]) -> DataFrame | None:
+            parts = [rest(visible(self._stored(cf, name, files), entry["ttl"], self.now))] if files else []
+            parts += [] if add is None else [add]
+            if len(parts) == 2:
+                a, b = M.aligned(*parts)
+                return a.unionByName(b)
+            return parts[0] if parts else None
+
+        df = result(touched)
+        if df is None:
+            return
+        want = df.schema if known is None else M.common_type(known, df.schema)
+        if known is not None and any(want[f.name].dataType != f.dataType for f in known.fields):
+            touched = list(entry["files"])
+            df = result(touched)
+        df = M.update_schema(df, want)
+        hints = [quoted(x) for x in entry["indexes"] if x != entry["ttl"] and "[]" not in x and "." not in x and x in df.columns]
         if hints:
-            df = df.sortWithinPartitions(*(quoted(x) for x in hints))
+            df = df.repartitionByRange(*hints).sortWithinPartitions(*hints)
         path = f"data/{cf}/{name}-{uuid.uuid4().hex}"
         df.write.option(f"parquet.bloom.filter.enabled#{entry['pk']}", "true").parquet(f"{self.db.root}/{path}")
         self.written.append(path)
-        entry["data"] = path
+        fresh = [f"{path}/{f}" for f in self.db.folder.names(path) if f.endswith(".parquet")]
+        entry["files"] = [f for f in entry["files"] if f not in set(touched)] + fresh
+        entry["schema"] = df.schema.jsonValue()
         self.dirty = True
 
     def _hooks(self, cf: str, name: str) -> Hooks:
@@ -284,27 +360,21 @@ class Transaction:
         """Apply what triggers wrote."""
         for collection, rows in context.pending.items():
             pk = self._entry(cf, collection)["pk"]
-            df = self.frame(collection, cf)
-            gone = [k for k, d in rows.items() if d is None]
-            if gone:
-                df = df.where(~F.col(quoted(pk)).isin(gone))
             kept = [d for d in rows.values() if d is not None]
-            if kept:
-                new = M.documents(self.db.spark, kept, pk)
-                df = M.upsert_many(df, new, pk) if self._entry(cf, collection)["data"] else new
-            self._publish(cf, collection, df)
+            new = M.documents(self.db.spark, kept, pk) if kept else None
+            held = F.col(quoted(pk)).isin(list(rows))
+            touched, _ = self._files_of(cf, collection, lambda df, held=held: df.where(held))
+            self._publish(cf, collection, touched, lambda df, held=held: df.where(~F.coalesce(held, F.lit(False))), new)
 
-    def _write(self, cf: str, name: str, result: DataFrame, before: DataFrame | None, after: DataFrame, actions: tuple[str, str], check: DataFrame | None) -> None:
-        """Validate, fire the triggers around the write, and publish."""
+    def _around(self, cf: str, name: str, before: list[tuple[str, DataFrame]], write: Callable[[], None], after: list[tuple[str, DataFrame]]) -> None:
+        """Fire the triggers of actions before the write, write, fire those after it, and apply what they wrote."""
         hooks = self._hooks(cf, name)
-        if hooks.validators and check is not None:
-            validate(hooks, rows_of(check))
         context = self._context(cf)
-        if hooks.triggers:
-            fire(hooks, context, actions[0], rows_of(after if before is None else before))
-        self._publish(cf, name, result)
-        if hooks.triggers:
-            fire(hooks, context, actions[1], rows_of(after))
+        for action, rows in before if hooks.triggers else ():
+            fire(hooks, context, action, rows_of(rows))
+        write()
+        for action, rows in after if hooks.triggers else ():
+            fire(hooks, context, action, rows_of(rows))
         self._settle(cf, context)
 
     def insert_many(self, name: str, docs: Documents, cf: str = DEFAULT) -> Cursor:
@@ -312,15 +382,15 @@ class Transaction:
 
         def run() -> tuple[DataFrame, int]:
             pk = self._entry(cf, name)["pk"]
-            new = M.documents(self.db.spark, [docs] if isinstance(docs, Mapping) else docs, pk, generate=True)
+            new = M.documents(self.db.spark, [docs] if isinstance(docs, (Mapping, str)) else docs, pk, generate=True)
             n = new.count()
-            if self._entry(cf, name)["data"]:
-                result = M.insert_many(self.frame(name, cf), new, pk)
-            else:
-                if new.select(quoted(pk)).distinct().count() != n:
-                    raise DuplicateKey(pk)
-                result = new
-            self._write(cf, name, result, None, new, ("inserting", "inserted"), new)
+            M.check_new(self.frame(name, cf), new, pk)
+            if self._hooks(cf, name).validators:
+                validate(self._hooks(cf, name), new)
+            keys = new.select(F.col(quoted(pk)).alias("__k"))
+            # an expired document of the same key goes for good
+            touched, _ = self._files_of(cf, name, lambda df: expired(df, self._entry(cf, name)["ttl"], self.now).join(keys, F.col(quoted(pk)) == F.col("__k"), "left_semi"))
+            self._around(cf, name, [("inserting", new)], lambda: self._publish(cf, name, touched, lambda df: df, new), [("inserted", new)])
             return new, n
 
         return Cursor(run)
@@ -333,22 +403,24 @@ class Transaction:
         parse_filter(filter, required=True)
 
         def run() -> tuple[DataFrame, int]:
-            pk = self._entry(cf, name)["pk"]
+            entry = self._entry(cf, name)
+            pk = entry["pk"]
             df = self.frame(name, cf)
-            hit = df.where(M.condition(df, filter))
+            match = M.condition(df, filter)
             if one:
-                hit = df.join(F.broadcast(M.first_match(df, filter, pk)), F.col(quoted(pk)) == F.col("__first"), "left_semi")
-            n = hit.count()
+                first = M.first_match(df, filter, pk).collect()
+                match = F.col(quoted(pk)) == F.lit(first[0][0]) if first else F.lit(False)
+            touched, n = self._files_of(cf, name, lambda rows: visible(rows, entry["ttl"], self.now).where(match))
+            hit = visible(self._stored(cf, name, touched), entry["ttl"], self.now).where(match)
             if not n:
                 return hit, 0
-            result = change(df, pk)
-            keys = hit.select(quoted(pk))
-            if gone:
-                after = hit
-            else:
-                a, b = M.aligned(hit, result)
-                after = b.join(keys, pk, "left_semi").exceptAll(a) if not any(t in x for _, x in b.dtypes for t in ("map<", "variant")) else b.join(keys, pk, "left_semi")
-            self._write(cf, name, result, hit, after, actions, None if gone else hit)
+            after = hit
+            if not gone:
+                if self._hooks(cf, name).validators:
+                    validate(self._hooks(cf, name), hit)
+                a, b = M.aligned(hit, change(hit, pk))
+                after = b.exceptAll(a) if not any(t in x for _, x in b.dtypes for t in ("map<", "variant")) else b
+            self._around(cf, name, [(actions[0], hit)], lambda: self._publish(cf, name, touched, lambda rows: change(rows, pk), None), [(actions[1], after)])
             return after, n
 
         return Cursor(run)
@@ -370,15 +442,19 @@ class Transaction:
     def delete_one(self, name: str, filter: Mapping[str, Any], cf: str = DEFAULT) -> Cursor:  # noqa: A002
         return self._change(cf, name, filter, True, lambda df, pk: M.delete_one(df, filter, pk), ("deleting", "deleted"), gone=True)
 
-    def _keyed(self, name: str, docs: Documents, cf: str, merge: bool) -> Cursor:
+    def _keyed(self, name: str, docs: Documents, cf: str, merge: bool, order: str | None) -> Cursor:
         self._writes()
 
         def run() -> tuple[DataFrame, int]:
-            pk = self._entry(cf, name)["pk"]
-            rows = [docs] if isinstance(docs, Mapping) else docs
-            order = None
-            if not isinstance(rows, DataFrame):
-                rows = list(rows)
+            entry = self._entry(cf, name)
+            pk = entry["pk"]
+            rows = [docs] if isinstance(docs, (Mapping, str)) else docs
+            if isinstance(rows, DataFrame):
+                n = rows.count()
+                new = M.last_of_each(rows, pk, order) if not merge or order is None else rows
+                parts = [(M.documents(self.db.spark, new, pk, generate=True), order if merge else None)]
+            else:
+                rows = [json.loads(r) if isinstance(r, str) else r for r in rows]
                 n = len(rows)
                 folded: dict[Any, dict[str, Any]] = {}
                 for k, row in enumerate(rows):
@@ -387,39 +463,43 @@ class Transaction:
                 groups: dict[tuple, list] = {}
                 for row in folded.values():
                     groups.setdefault(tuple(sorted(x for x in row if x != pk)) if merge else (), []).append(row)
-                parts = [M.documents(self.db.spark, g, pk, generate=True) for g in groups.values()]
-            else:
-                n = rows.count()
-                parts = [M.documents(self.db.spark, rows, pk, generate=True)]
-            df = self.frame(name, cf)
-            result = df if self._entry(cf, name)["data"] else None
-            after = None
-            for new in parts:
-                known = None if result is None else result.select(quoted(pk))
-                if result is None:
-                    result = M.last_of_each(new, pk)
-                else:
-                    result = (M.merge_many if merge else M.upsert_many)(result, new, pk, order)
-                hooks = self._hooks(cf, name)
-                if hooks.triggers:
-                    context = self._context(cf)
-                    old = new.join(known, pk, "left_semi") if known is not None else new.limit(0)
-                    fresh = new.join(known, pk, "left_anti") if known is not None else new
-                    for action, part in (("updating", old), ("inserting", fresh), ("updated", old), ("inserted", fresh)):
-                        fire(hooks, context, action, rows_of(part))
-                    self._settle(cf, context)
-                after = new if after is None else M.aligned(after, new)[0].unionByName(M.aligned(after, new)[1])
-            if result is not None and after is not None:
-                self._publish(cf, name, result)
-            return after if after is not None else df.limit(0), n
+                parts = [(M.documents(self.db.spark, g, pk, generate=True), None) for g in groups.values()]
+            written = None
+            for new, by in parts:
+                here = self._keyed_part(cf, name, new, merge, by)
+                written = here if written is None else M.aligned(written, here)[0].unionByName(M.aligned(written, here)[1])
+            return written if written is not None else self.frame(name, cf).limit(0), n
 
         return Cursor(run)
 
-    def upsert_many(self, name: str, docs: Documents, cf: str = DEFAULT) -> Cursor:
-        return self._keyed(name, docs, cf, merge=False)
-
-    def merge_many(self, name: str, docs: Documents, cf: str = DEFAULT) -> Cursor:
-        return self._keyed(name, docs, cf, merge=True)
+    def _keyed_part(self, cf: str, name: str, new: DataFrame, merge: bool, order: str | None) -> DataFrame:
+        """Upsert or merge new, whose documents have the same fields; what was written."""
+        entry = self._entry(cf, name)
+        pk = entry["pk"]
+        keys = new.select(F.col(quoted(pk)).alias("__k")).distinct()
+        same = F.col(quoted(pk)) == F.col("__k")
+        touched, _ = self._files_of(cf, name, lambda df: df.join(keys, same, "left_semi"))
+        old = visible(self._stored(cf, name, touched), entry["ttl"], self.now).join(keys, same, "left_semi")
+        result = (M.merge_many if merge else M.upsert_many)(old, new, pk, order) if entry["schema"] else new.drop(*([order] if order else []))
+        before, after = [], []
+        if self._hooks(cf, name).triggers:
+            known = old.select(F.col(quoted(pk)).alias("__k"))
+            added = result.join(known, same, "left_anti")
+            changed = result.join(known, same, "left_semi")
+            if merge and not any(t in x for _, x in changed.dtypes for t in ("map<", "variant")):
+                a, b = M.aligned(old, changed)
+                changed = b.exceptAll(a)
+            before, after = [("updating", old), ("inserting", added)], [("updated", changed), ("inserted", added)]
+        self._around(cf, name, before, lambda: self._publish(cf, name, touched, lambda df: df.join(keys, same, "left_anti"), result), after)
+        return result
+
+    def upsert_many(self, name: str, docs: Documents, cf: str = DEFAULT, order: str | None = None) -> Cursor:
+        """The last of several documents of a key counts: of a list by place, of a DataFrame by the column order, which isn't stored."""
+        return self._keyed(name, docs, cf, False, order)
+
+    def merge_many(self, name: str, docs: Documents, cf: str = DEFAULT, order: str | None = None) -> Cursor:
+        """Several documents of a key are merged one after another: of a list by place, of a DataFrame by the column order."""
+        return self._keyed(name, docs, cf, True, order)
 
     def purge_expired(self, cf: str, name: str) -> int:
         """Remove the documents that have expired; how many they were."""
@@ -427,18 +507,21 @@ class Transaction:
 
     def purge_before(self, cf: str, name: str, at: dt.datetime) -> int:
         self._writes()
-        df, entry = self._stored(cf, name), self._entry(cf, name)
-        n = 0 if df is None else expired(df, entry["ttl"], at).count()
+        ttl = self._entry(cf, name)["ttl"]
+        touched, n = self._files_of(cf, name, lambda df: expired(df, ttl, at))
         if n:
-            self._publish(cf, name, visible(df, entry["ttl"], at))
+            self._publish(cf, name, touched, lambda df: visible(df, ttl, at), None)
         return n
 
-    def delete_range(self, name: str, low: Any = None, high: Any = None, cf: str = DEFAULT) -> None:
-        """Remove the documents with low <= primary key < high; None is no bound."""
+    def delete_range(self, name: str, low: Any = None, high: Any = None, cf: str = DEFAULT, with_low: bool = True, with_high: bool = False) -> None:
+        """Remove the documents whose primary key lies between low and high, and at them if with_low, with_high; None is no bound."""
         self._writes()
         pk = F.col(quoted(self._entry(cf, name)["pk"]))
-        inside = (F.lit(True) if low is None else pk >= low) & (F.lit(True) if high is None else pk < high)
-        self._publish(cf, name, self.frame(name, cf).where(~inside))
+        above = F.lit(True) if low is None else pk >= low if with_low else pk > low
+        below = F.lit(True) if high is None else pk <= high if with_high else pk < high
+        inside = F.coalesce(above & below, F.lit(False))
+        touched, _ = self._files_of(cf, name, lambda df: df.where(inside))
+        self._publish(cf, name, touched, lambda df: df.where(~inside), None)
 
     # end
 
@@ -447,10 +530,19 @@ class Transaction:
         self.closed = True
         if not self.dirty:
             return
-        if not self.db.folder.create(f"manifests/m{self.version + 1:010d}.json", json.dumps(self.meta)):
-            self._discard()
-            raise StoreError("another transaction committed first")
-        self.db.hooks = self.fresh_hooks
+        mine = {k for k in self.meta["collections"] | self.began["collections"] if self.meta["collections"].get(k) != self.began["collections"].get(k)}
+        for _ in range(TURNS):
+            if self.db.folder.create(f"manifests/m{self.version + 1:010d}.json", json.dumps(self.meta)):
+                self.db.hooks = self.fresh_hooks
+                return
+            # on top of the others' commits, unless they changed one of this one's collections
+            self.version, latest = self.db.manifest()
+            if any(latest["collections"].get(k) != self.began["collections"].get(k) for k in mine):
+                break
+            theirs = {k: v for k, v in latest["collections"].items() if k not in mine}
+            self.meta = {"collections": theirs | {k: v for k, v in self.meta["collections"].items() if k in mine}}
+        self._discard()
+        raise StoreError("another transaction committed first")
 
     def rollback(self) -> None:
         self.closed = True

@@ -1,9 +1,12 @@
 import datetime as dt
+import threading
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
 from larkspur.errors import CollectionNotFound, DuplicateKey, FunctionExists, HookError, IndexExists, InvalidKey, ReadOnly, StoreError
+from larkspur.operators import mutate as M
 from larkspur.operators.find import FindOptions
 from larkspur.sources.store import Database
 from larkspur.streaming.sinks import keyed_sink
@@ -164,3 +167,96 @@ def test_streams_into_collections(db, spark, tmp_path):
     assert got == {"a": 50, "b": 2, "x": 3, "s": 2}
     sink(rows.selectExpr("_id", "0 AS n", "t"), 0)
     assert db.begin(True).find_one("c", {"_id": "a"})["n"] == 50
+
+
+def files(db, name="c"):
+    return set(db.manifest()[1]["collections"][f"default_cf/{name}"]["files"])
+
+
+def test_writes_touch_only_the_files_that_hold_their_documents(db, spark):
+    db.create_collection("many", pk="id")
+    db.insert_many("many", spark.range(1000).selectExpr("id", "id % 7 n").repartitionByRange(8, "id"))
+    before = files(db, "many")
+    assert len(before) == 8
+    db.insert_many("many", spark.range(1000, 1010).selectExpr("id", "id % 7 n").coalesce(1))
+    assert before < files(db, "many") and len(files(db, "many")) == 9
+    before = files(db, "many")
+    assert db.update_one("many", {"id": 3}, {"$set": {"n": 100, "new": "x"}}) == 1
+    assert len(before - files(db, "many")) == 1
+    before = files(db, "many")
+    assert db.delete_many("many", {"id": {"$lt": 2}}) == 2 and len(before - files(db, "many")) == 1
+    assert db.upsert_many("many", [{"id": 5, "n": 1}, {"id": 5000, "n": 2}]) == 2
+    assert db.count("many") == 1009 and db.find_one("many", {"new": "x"}) == {"id": 3, "n": 100, "new": "x"}
+    # a type that has to be widened is widened in all files
+    assert db.update_one("many", {"id": 900}, {"$set": {"n": 0.5}}) == 1
+    assert db.find("many").agg({"n": "sum"}).first()[0] == sum(i % 7 for i in range(1010)) - 3 + 100 - 1 - 5 + 1 + 2 - 900 % 7 + 0.5
+    db.vacuum()
+    assert db.count("many") == 1009
+
+
+def test_of_two_commits_at_once_one_wins_unless_they_touch_different_collections(db):
+    with db.begin() as txn:
+        txn.create_collection("d")
+    first, second, other = db.begin(), db.begin(), db.begin()
+    for n, (txn, name) in enumerate(((first, "c"), (second, "c"), (other, "d"))):
+        txn.insert_one(name, {"_id": f"new{n}", "n": n}).drain()
+    done = []
+
+    def commit(txn, name):
+        try:
+            txn.commit()
+            done.append(name)
+        except StoreError:
+            pass
+
+    threads = [threading.Thread(target=commit, args=x) for x in ((first, "c"), (second, "c"), (other, "d"))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(done) == ["c", "d"] and db.count("c") == 4 and db.count("d") == 1
+    with ThreadPoolExecutor(16) as pool:
+        made = list(pool.map(lambda k: db.folder.create("manifests/m9999999999.json", str(k)), range(16)))
+    assert sum(made) == 1 and db.folder.read("manifests/m9999999999.json") == str(made.index(True))
+
+
+def test_keyed_writes_fire_around_the_write_and_keep_what_triggers_wrote(db):
+    seen = []
+
+    def note(context, event):
+        seen.append((event["action"], event["doc"]["_id"], event["doc"]["n"]))
+        if not event["doc"]["_id"].startswith("copy"):
+            context.put("c", {"_id": "copy-" + event["doc"]["_id"], "n": 0})
+
+    with db.begin() as txn:
+        txn.register_trigger("note", "c", note)
+    db.upsert_many("c", [{"_id": "a", "n": 7}, {"_id": "new", "n": 8}])
+    assert seen == [("updating", "a", 1), ("inserting", "new", 8), ("updated", "a", 7), ("inserted", "new", 8)]
+    db.merge_many("c", [{"_id": "b", "n": 2}, {"_id": "x", "n": 4}])
+    assert seen[4:6] in ([("updating", "b", 2), ("updating", "x", 3)], [("updating", "x", 3), ("updating", "b", 2)]) and seen[6:] == [("updated", "x", 4)]
+    assert {d["_id"] for d in db.begin(True).find("c").iter()} == {"a", "b", "x", "new", "copy-a", "copy-new", "copy-b", "copy-x"}
+
+
+def test_batches_with_a_key_twice_need_an_order(db, spark):
+    twice = spark.createDataFrame([("a", 1, 5), ("a", 2, 6), ("z", 1, 7)], "_id string, at int, n int")
+    with pytest.raises(DuplicateKey):
+        db.upsert_many("c", twice)
+    assert db.upsert_many("c", twice, order="at") == 3 and db.find_one("c", {"_id": "a"}) == {"_id": "a", "n": 6}
+    with pytest.raises(DuplicateKey):
+        M.last_of_each(twice, "_id")
+
+
+def test_statements_of_the_database_json_texts_and_stores_that_pass(spark):
+    db = Database(spark)
+    db.create_collection("j")
+    assert db.insert_many("j", ['{"_id": "a", "n": 1}', '{"_id": "b", "n": null}']) == 2 and db.insert_one("j", {"_id": "c", "n": 3}) == 1
+    assert db.replace_one("j", {"_id": "a"}, {"n": 5}) == 1 and db.distinct("j", "n", sort=1) == [3, 5]
+    db.delete_range("j", low="a", high="b", with_low=False, with_high=True)
+    assert sorted(r._id for r in db.find("j").collect()) == ["a", "c"]
+    with pytest.raises(HookError):
+        db.register_validator("odd", "j", lambda d: d["n"] % 2 == 1)
+        db.insert_one("j", {"_id": "e", "n": 4})
+    with pytest.raises(HookError, match="failed"):
+        db.insert_one("j", {"_id": "e", "n": None})
+    db.shutdown()
+    assert db.folder.names("data") == []
