@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.session import cut, ensure_checkpoint_dir
 
-__all__ = ["arrow_rows", "cut", "fewer", "free_name", "hot_keys", "remainder", "sent", "stash", "table"]
+__all__ = ["arrow_rows", "cut", "fewer", "forget", "free_name", "hot_keys", "remainder", "sent", "stash", "table"]
 
 #: Rows of an Arrow batch at most, so that a batch of long texts fits in a Python worker.
 ARROW_ROWS = 1000
@@ -40,7 +40,15 @@ def stash(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    kept = spark.read.parquet(path)
+    kept._stash = path
+    return kept
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what stash() wrote for df; nothing may read it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stash)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sent(df: DataFrame, most: int | None = None) -> DataFrame:

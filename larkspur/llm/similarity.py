@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import HOT_SHARE, arrow_rows, cut, free_name, hot_keys, sent, stash
+from larkspur.llm.common import HOT_SHARE, arrow_rows, cut, forget, free_name, hot_keys, sent, stash
 from larkspur.llm.components import components
 from larkspur.llm.text import column_bytes, ngram_hashes, slices, splitmix, word_hashes
 
@@ -164,7 +164,9 @@ def refined(texts: DataFrame, words: int, percent: int, family: DataFrame, class
     theirs = stash(texts.join(sent(members), "node", "left_semi"))
     rows = prepare(theirs, words, percent, 1, True)
     again = families(rows.select("node", "room", "sampled", "rest"), hot_tokens(theirs, words, percent, 1, True))
-    return cut(family.join(large, "family", "left_anti").select("node", "family").unionByName(again))
+    made = cut(family.join(large, "family", "left_anti").select("node", "family").unionByName(again))
+    forget(theirs)
+    return made
 
 
 def adaptive_links(grams: np.ndarray, begin: np.ndarray, percent: int, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
@@ -309,6 +311,7 @@ def similarity_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     members = texts.select("text", "node").join(sent(cut(placed)), "node")
     found = cut(join_blocks(members, words, percent))
+    forget(texts)
     labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     placed_in = classes.select("node", "least", "size").join(linked, "node", "left").join(labels, "node", "left")
