@@ -10,11 +10,14 @@ stages: only suffixes smaller than their successors are sorted directly, by comp
 follow in one scan over the buckets of first bytes, from each sorted suffix to the one before it. The common prefixes of
 neighbours in the array tell which strings repeat.
 
-An anchor with very many distinct segments is split: parts of PART segments are sorted in turn, and strings that
-stand in several parts are found by hashes.
+What is frequent. Anchors that a sample shows to be very frequent are counted by segment before they are brought together, and
+an anchor of more than PART distinct segments isn't sorted in one task: its strings are counted by two 64-bit hashes, dealt over all tasks.
 
-Defined cases: a null text is empty; texts shorter than LENGTH bytes keep all bytes; repeated rows cover each other; an
-empty table gives an empty result; extra columns are not read.
+Equal segments are told by two 64-bit hashes, of the anchor and of the segment, equal texts by one and their size.
+
+Defined cases: a null text is empty; texts shorter than LENGTH bytes keep all bytes; very long texts are one text like others, and
+strings that repeat within one text count; of equal segments any may stand for the others, since all are removed; repeated
+rows cover each other; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import arrow_rows, fewer, stash
+from larkspur.llm.common import HOT_SHARE, arrow_rows, cut, fewer, hot_keys, stash
 from larkspur.llm.text import byte_hashes, column_bytes, slices, splitmix
 
 LENGTH, GRAM = 200, 50
-#: Segments of one anchor that are sorted together at most; bytes sorted together, about.
+#: Distinct segments of an anchor up to which they are sorted in one task; bytes sorted together, about.
 PART, SORTED_BYTES = 1500, 1 << 18
 
 
@@ -193,18 +196,14 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def string_hashes(part: bytes, count: int) -> np.ndarray:
-    """The hashes of the part's strings."""
-    return byte_hashes(np.frombuffer(part, dtype=np.uint8), np.arange(count), np.full(count, LENGTH))
-
-
-def repeats_of(parts: list[bytes], counts: np.ndarray) -> np.ndarray:
-    """repeated_starts() for any number of parts: many are sorted in turn, and their strings compared across by hashes."""
-    if len(parts) <= PART:
-        return repeated_starts(parts, counts)
-    hit = np.concatenate([repeated_starts(parts[k : k + PART], counts[k : k + PART]) for k in range(0, len(parts), PART)])
-    _, inverse, times = np.unique(np.concatenate([string_hashes(p, int(c)) for p, c in zip(parts, counts, strict=True)]), return_inverse=True, return_counts=True)
-    return hit | (times[inverse] > 1)
+def string_hashes(parts: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each part's strings, part after part."""
+    data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    begin = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    at = np.repeat(begin[:-1] - offsets[:-1], counts) + np.arange(offsets[-1])
+    other = splitmix(np.arange(256, dtype=np.uint64)).argsort().astype(np.uint8)[data]
+    return byte_hashes(data, at, np.full(len(at), LENGTH)), byte_hashes(other, at, np.full(len(at), LENGTH))
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -213,90 +212,136 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-_COVERED = "key long, a int, b int"
+_COVERED = "key long, size int, a int, b int"
 
 
 def _segments_of(docs: DataFrame) -> DataFrame:
-    """key, anchor, own, first, n, again of all segments of docs (key, text); equal ones in a row, as periodic texts have, are one with again > 1."""
+    """key, size, anchor, own, first, n, again of all segments of docs (key, text); equal ones in a row, as periodic texts have, are one with again > 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            owner, first, n, anchor, own = segments(*column_bytes(batch.column("text")))
+            data, bounds = column_bytes(batch.column("text"))
+            owner, first, n, anchor, own = segments(data, bounds)
             new = np.ones(len(first), dtype=bool)
             new[1:] = (owner[1:] != owner[:-1]) | (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1])
             at = np.flatnonzero(new)
             again = np.diff(np.append(at, len(first))).astype(np.int32)
             owner, first, n, anchor, own = owner[at], first[at], n[at], anchor[at], own[at]
-            keys = batch.column("key").to_numpy()[owner]
-            yield pa.record_batch([pa.array(x) for x in (keys, anchor.view(np.int64), own.view(np.int64), first.astype(np.int32), n.astype(np.int32), again)], names=["key", "anchor", "own", "first", "n", "again"])
+            keys, sizes = batch.column("key").to_numpy()[owner], np.diff(bounds)[owner].astype(np.int32)
+            names = ["key", "size", "anchor", "own", "first", "n", "again"]
+            yield pa.record_batch([pa.array(x) for x in (keys, sizes, anchor.view(np.int64), own.view(np.int64), first.astype(np.int32), n.astype(np.int32), again)], names=names)
 
-    return docs.mapInArrow(run, "key long, anchor long, own long, first int, n int, again int")
+    return docs.select("key", "text").mapInArrow(run, "key long, size int, anchor long, own long, first int, n int, again int")
 
 
-def _cut_out(docs: DataFrame) -> DataFrame:
-    """key, anchor, first, n, single, part: the segments of docs (key, text, wanted) with their bytes."""
+_PART = [("key", pa.int64()), ("size", pa.int32()), ("anchor", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("single", pa.bool_()), ("part", pa.binary())]
+
+
+def _cut_out(docs: DataFrame, many: bool) -> DataFrame:
+    """key, size, anchor, first, n, single, part: the segments of docs (key, text, wanted) with their bytes, of anchors with many segments or of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             for key, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "wanted")), strict=True):
                 raw = text.encode()
-                rows += [(key, w["anchor"], w["first"], w["n"], w["single"], raw[w["first"] : w["first"] + w["n"] + LENGTH - 1]) for w in wanted]
-            columns = zip(*rows, strict=True) if rows else [()] * 6
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "anchor", "first", "n", "single", "part"])
+                rows += [(key, len(raw), w["anchor"], w["first"], w["n"], w["single"], raw[w["first"] : w["first"] + w["n"] + LENGTH - 1]) for w in wanted if w["many"] == many]
+            columns = zip(*rows, strict=True) if rows else [()] * len(_PART)
+            yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(columns, _PART, strict=True)], names=[name for name, _ in _PART])
 
-    return docs.mapInArrow(run, "key long, anchor long, first int, n int, single boolean, part binary")
+    return docs.mapInArrow(run, "key long, size int, anchor long, first int, n int, single boolean, part binary")
 
 
 def _sorted_out(parts: DataFrame) -> DataFrame:
-    """key, a, b: what the single segments' repeated strings cover, by suffix arrays over the anchors' segments."""
+    """key, size, a, b: what the single segments' repeated strings cover, by suffix arrays over the anchors' segments."""
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        counts = np.array([r[3] for r in rows], dtype=np.int64)
-        hit = repeats_of([r[5] for r in rows], counts)
+        counts = np.array([r[4] for r in rows], dtype=np.int64)
+        hit = repeated_starts([r[6] for r in rows], counts)
         ends = np.cumsum(counts)
         out = []
-        for (key, _, first, n, single, _), end in zip(rows, ends.tolist(), strict=True):
+        for (key, size, _, first, n, single, _), end in zip(rows, ends.tolist(), strict=True):
             if single:
-                out += [(key, first + a, first + b - 1 + LENGTH) for a, b in runs(hit[end - n : end])]
-        columns = zip(*out, strict=True) if out else [()] * 3
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "a", "b"])
+                out += [(key, size, first + a, first + b - 1 + LENGTH) for a, b in runs(hit[end - n : end])]
+        columns = zip(*out, strict=True) if out else [()] * 4
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["key", "size", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size, last = 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "anchor", "first", "n", "single", "part")), strict=True):
-                if rows and row[1] != last and size >= SORTED_BYTES:
+            for row in zip(*(batch.column(name).to_pylist() for name, _ in _PART), strict=True):
+                if rows and row[2] != last and size >= SORTED_BYTES:
                     yield flush(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size, last = size + len(row[5]), row[1]
+                size, last = size + len(row[6]), row[2]
         if rows:
             yield flush(rows)
 
     return parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _COVERED)
 
 
+def _counted_out(parts: DataFrame) -> DataFrame:
+    """key, size, a, b: what the single segments' repeated strings cover, by counts of their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                some = batch.slice(low, 1000)
+                n = some.column("n").to_numpy().astype(np.int64)
+                h, g = string_hashes(some.column("part").to_pylist(), n)
+                owner = np.repeat(np.arange(some.num_rows), n)
+                at = some.column("first").to_numpy()[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                columns = [pa.array(x) for x in (h.view(np.int64), g.view(np.int64), some.column("key").to_numpy()[owner], some.column("size").to_numpy()[owner], at.astype(np.int32))]
+                yield pa.record_batch([*columns, some.column("single").take(pa.array(owner))], names=["h", "g", "key", "size", "at", "single"])
+
+    strings = stash(parts.mapInArrow(run, "h long, g long, key long, size int, at int, single boolean"))
+    twice = strings.groupBy("h", "g").count().where("count > 1").select("h", "g")
+    return strings.where("single").join(twice, ["h", "g"], "left_semi").select("key", "size", F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b"))
+
+
+def _met(found: DataFrame) -> DataFrame:
+    """The segments of found whose anchors others have too, with single: it has no equal, asked: its strings are to be looked at, many: with those of many others."""
+    anchor, same = Window.partitionBy("anchor"), Window.partitionBy("anchor", "own")
+    counted = found.withColumn("times", F.sum("again").over(same)).withColumn("turn", F.row_number().over(same.orderBy("key", "first")))
+    met = counted.withColumn("all", F.sum("again").over(anchor)).withColumn("fewest", F.min("times").over(anchor)).withColumn("kinds", F.sum(F.when(F.col("turn") == 1, 1)).over(anchor))
+    asked = (F.col("fewest") == 1) & (F.col("turn") == 1)
+    return met.where("all > 1").select("key", "size", "anchor", "first", "n", "again", (F.col("times") == 1).alias("single"), asked.alias("asked"), (F.col("kinds") > PART).alias("many"))
+
+
+def _met_often(found: DataFrame) -> DataFrame:
+    """_met() for anchors that are very frequent: equal segments are counted where they are read, and no task gets an anchor's rows whole."""
+    kinds = cut(found.groupBy("anchor", "own").agg(F.sum("again").alias("times"), F.min(F.struct("key", "first", "size")).alias("chosen")))
+    named = found.join(kinds, ["anchor", "own"])
+    chosen = (F.col("chosen.key") == F.col("key")) & (F.col("chosen.first") == F.col("first")) & (F.col("chosen.size") == F.col("size"))
+    return named.select("key", "size", "anchor", "first", "n", "again", (F.col("times") == 1).alias("single"), chosen.alias("asked"), F.lit(True).alias("many"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """key, spans: for each text of docs (key, text) with repeats the spans of bytes that repeated strings cover.
+    """key, size, spans: for each text of docs (key, text) with repeats the spans of bytes that repeated strings cover.
 
-    key is a hash of the text; a span's end is exclusive, and spans may overlap.
+    key is a hash of the text, size its bytes; a span's end is exclusive, and spans may overlap.
     """
     found = _segments_of(docs)
-    anchor, same = Window.partitionBy("anchor"), Window.partitionBy("anchor", "own")
-    counted = found.withColumn("times", F.sum("again").over(same)).withColumn("turn", F.row_number().over(same.orderBy("key", "first")))
-    met = counted.withColumn("all", F.sum("again").over(anchor)).withColumn("fewest", F.min("times").over(anchor)).where("all > 1")
+    hot = hot_keys(_segments_of(docs.sample(HOT_SHARE, seed=7)).select("anchor"), "anchor")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = stash(fewer(met.select("key", "anchor", "first", "n", "again", (F.col("times") == 1).alias("single"), ((F.col("fewest") == 1) & (F.col("turn") == 1)).alias("asked")), partitions))
-    whole = met.where("NOT single").select("key", F.col("first").alias("a"), (F.col("first") + F.col("n") * F.col("again") - 1 + LENGTH).alias("b"))
-    wanted = met.where("asked").groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "n", "single")).alias("wanted"))
-    owners = docs.groupBy("key").agg(F.min("row").alias("row"))
-    chosen = wanted.join(owners, "key")
-    texts = docs.join(chosen.withColumnRenamed("key", "k").withColumnRenamed("row", "r"), (F.col("key") == F.col("k")) & (F.col("row") == F.col("r")))
-    covered = _sorted_out(_cut_out(texts.select("key", "text", "wanted")))
-    return whole.unionByName(covered).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    if hot is None:
+        met = stash(fewer(_met(found), partitions))
+    else:
+        found = stash(found)
+        met = stash(_met(found.join(hot, "anchor", "left_anti")).unionByName(_met_often(found.join(hot.select("anchor"), "anchor", "left_semi"))))
+    whole = met.where("NOT single").select("key", "size", F.col("first").alias("a"), (F.col("first") + F.col("n") * F.col("again") - 1 + LENGTH).alias("b"))
+    wanted = met.where("asked").groupBy("key", "size").agg(F.collect_set(F.struct("anchor", "first", "n", "single", "many")).alias("wanted"))
+    mine = docs.withColumn("bytes", F.octet_length("text"))
+    owners = mine.groupBy("key", F.col("bytes").alias("size")).agg(F.min("row").alias("row"))
+    chosen = wanted.join(owners, ["key", "size"])
+    texts = mine.join(chosen.withColumnRenamed("key", "k").withColumnRenamed("row", "r"), (F.col("key") == F.col("k")) & (F.col("row") == F.col("r")) & (F.col("bytes") == F.col("size")))
+    texts = texts.select("key", "text", "wanted")
+    covered = whole.unionByName(_sorted_out(_cut_out(texts, False)))
+    if not met.where("asked AND many").isEmpty():
+        covered = covered.unionByName(_counted_out(_cut_out(texts, True)))
+    return covered.groupBy("key", "size").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -309,7 +354,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     arrow_rows(docs.sparkSession)
     rows = _keyed(docs)
     spans = repeated_spans(rows.select("key", "text", "row")).withColumnRenamed("key", "k")
-    joined = rows.join(spans, F.col("key") == F.col("k"), "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans, (F.col("key") == F.col("k")) & (F.octet_length("text") == F.col("size")), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from larkspur.llm import suffixes
+from larkspur.llm import common, suffixes
 
 
 def test_suffix_order_matches_brute_force():
@@ -76,6 +76,27 @@ def test_split_anchors_match_brute_force(spark, monkeypatch):
     check(spark, corpus(4))
 
 
+def test_frequent_anchors_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT_SHARE", 1.0)
+    monkeypatch.setattr(common, "HOT_TIMES", 4)
+    check(spark, corpus(6))
+
+
+def test_two_hashes_of_strings(spark):
+    parts = [bytes(random.Random(k).randrange(256) for _ in range(200 + k)) for k in range(5)] + [b"a" * 210]
+    counts = np.array([k + 1 for k in range(5)] + [11])
+    h, g = suffixes.string_hashes(parts, counts)
+    strings = [p[i : i + 200] for p, n in zip(parts, counts) for i in range(n)]
+    assert len(h) == len(strings) and len(set(zip(h.tolist(), g.tolist()))) == len(set(strings)) and (h != g).all()
+    assert len({(x, y) for x, y, t in zip(h.tolist(), g.tolist(), strings) if t == b"a" * 200}) == 1
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(7)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(60000))
+    check(spark, [long, long[20000:20500] + "!", "ab" * 20000, "unique " + long[:150], long[59000:] + long[:300]])
+
+
 def test_repeated_ids_and_empty_tables(spark):
     text = "".join(random.Random(5).choice("abcdef") for _ in range(300))
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (None, None), (1, "y" + text[:250])], "doc_id long, text string")
