@@ -9,8 +9,9 @@ Statistics are computed once for every whole text. The fit reads a bounded sampl
 by a hash; the parts of the normal equations come from FIT_PARTS tasks, so that what the driver adds up is bounded.
 
 Defined cases: a null text has the statistics of an empty one and gets a score like any other; rows with a null label
-aren't learned from; without labelled rows every score is 0.5; repeated rows have equal scores; an empty table gives an
-empty result; extra columns are not read.
+aren't learned from; very long texts are read whole; of several labels of a document the largest counts; equal raw scores are
+one place of the calibration; without labelled rows every score is 0.5; repeated rows have equal scores; an empty table gives
+an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -116,8 +117,8 @@ class Model:
         return np.interp(self.raw(x), self.knots, self.levels)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots and levels of the non-decreasing least-squares fit of y to x, by pooling adjacent violators."""
+def pooled(x: np.ndarray, y: np.ndarray) -> list[list[float]]:
+    """The blocks of the non-decreasing least-squares fit of y to x, by pooling adjacent violators: sum, size, least and largest x."""
     order = np.argsort(x, kind="stable")
     places, first, sizes = np.unique(x[order], return_index=True, return_counts=True)
     sums = np.add.reduceat(y[order].astype(float), first)
@@ -127,6 +128,12 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             total2, size2, _, high = blocks.pop()
             blocks[-1] = [blocks[-1][0] + total2, blocks[-1][1] + size2, blocks[-1][2], high]
+    return blocks
+
+
+def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots and levels of the non-decreasing fit of y to x; levels are drawn a little from 0 and 1, the more the smaller the block."""
+    blocks = pooled(x, y)
     knots = np.array([v for b in blocks for v in (b[2], b[3])])
     levels = np.array([v for b in blocks for v in ((b[0] + 0.5) / (b[1] + 1),) * 2])
     return knots, np.maximum.accumulate(levels)
