@@ -9,7 +9,8 @@ to the end. Slots remember on how many pages they stood, how much text they had,
 The wrapper decides what is main: its article element or what is declared as the main part if enough of the host's text is
 there, or else the element into which most of the text that varies from page to page leads. Below it, what the elements'
 names mark as menus, forms, asides and the like is left out, and so are blocks that say the same on all pages of the host.
-Words of classes and identifiers count only if all words of a name say so, and never for what holds most of the text.
+Words of classes and identifiers count only if all words of a name say so (of paragraphs and the like, without words that say nothing), and
+never for what holds most of the text.
 A page is matched with its host's wrapper, token by token, and its text is what stands in the main slots. A page that has no such part
 is taken for itself, by the same rules, with its own stream as the wrapper.
 
@@ -48,6 +49,7 @@ DROPPED = frozenset("script style noscript template head title nav footer aside
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar tablist".split())
 LISTED = frozenset("p li tr td th dt dd h1 h2 h3 h4 h5 h6 blockquote pre option figure".split())
 HEADINGS = frozenset("h1 h2 h3 p".split())
+TEXTUAL = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split())
 WHOLE = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption caption address ul ol dl".split())
 # Words of classes and identifiers; words that say nothing for themselves.
 DROPPED_WORDS = frozenset(
@@ -56,7 +58,10 @@ DROPPED_WORDS = frozenset(
     "reply replies respond disqus share sharing social related recommended widget widgets masthead topbar toolbar skip hidden".split()
 )
 MAIN_WORDS = frozenset("content article post entry story main articlebody maincontent".split())
-PLAIN_WORDS = frozenset("area articles bar block body bottom box button buttons container form global group header inner item items left link links list main page posts primary right secondary section site slot top user wrap wrapper".split())
+PLAIN_WORDS = frozenset(
+    "area article articles bar block body bottom box button buttons card cards col column columns container content entry form global grid group head header icon icons inner item items "
+    "label left link links list main page panel post posts primary right row secondary section site slot stories story text this title top unit user wrap wrapper zone".split()
+)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|<[a-zA-Z/][^>]*\Z", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -107,7 +112,7 @@ def element(name: str, attrs: str, in_main: bool) -> Element:
         role = found.get("role", "")
         gone = name in DROPPED or role in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         gone |= name == "header" and not in_main
-        hint = name not in ("html", "body", "main") and any(DROPPED_WORDS.intersection(one) and all(w in DROPPED_WORDS or w in PLAIN_WORDS for w in one) for one in names)
+        hint = name not in ("html", "body", "main") and any(DROPPED_WORDS.intersection(one) and all(w in DROPPED_WORDS or w in PLAIN_WORDS and name not in TEXTUAL for w in one) for one in names)
         rank = 0 if gone or hint else 3 if name == "article" or "articlebody" in found.get("itemprop", "") else 2 if name == "main" or role == "main" else 1 if words & MAIN_WORDS and name in ("div", "section", "td") else 0
         made = Element(name, ("d" if gone else "h" if hint else "") + str(rank), tuple(sorted({"-".join(_WORDS.findall(w)) for w in said} - {""})))
         made.gone = gone or hint

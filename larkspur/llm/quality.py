@@ -10,7 +10,7 @@ by a hash; the parts of the normal equations come from FIT_PARTS tasks, so that
 
 Defined cases: a null text has the statistics of an empty one and gets a score like any other; rows with a null label
 aren't learned from; very long texts are read whole; of several labels of a document the largest counts; equal raw scores are
-one place of the calibration; without labelled rows every score is 0.5; repeated rows have equal scores; an empty table gives
+one place of the calibration, which takes all labelled rows where the rest set aside for it has one label only; without labelled rows every score is 0.5; repeated rows have equal scores; an empty table gives
 an empty result; extra columns are not read.
 """
 
@@ -198,7 +198,7 @@ def train(labelled: DataFrame, seed: int = 7) -> Model:
             yield pa.record_batch([pa.array(model.raw(_matrix(batch.column("x")))), batch.column("label")], names=["raw", "label"])
 
     held = sample.where("part = 0").select("x", "label").mapInArrow(raws, "raw double, label double").toPandas()
-    if not len(held):
+    if held.label.nunique() < 2:
         held = sample.select("x", "label").mapInArrow(raws, "raw double, label double").toPandas()
     model.knots, model.levels = isotonic(np.round(held.raw.to_numpy(), 6), held.label.to_numpy())
     return model

@@ -37,6 +37,22 @@ def test_words_of_class_names_drop_only_whole_names():
     assert alone(page(body)) == "Start. The share price rose. Body of it. End."
 
 
+def test_blocks_around_and_inside_the_article_go():
+    kept = "<h1>Title</h1><p>One <a href='#'>link</a> of many words in a row.</p><p class='alert-text'>Two.</p><ul class='facts'><li>three</li><li>four</li></ul>"
+    gone = "<div class='related-stories'><p>More</p></div><div class='social-icons'>f t</div><form><input>Search</form><aside>Side</aside><section id='user-comments'><article class='comment'><p>First!</p></article></section>"
+    around = "<header class='site-header'><div>Site</div></header><nav>Menu</nav><div class='col-sidebar'><p>Links and links</p></div><div class='cookie-banner'>We use</div><div role='complementary'>More</div>"
+    text = "Title One link of many words in a row. Two. three four"
+    assert alone(page(f"{around}<article>{kept}{gone}</article><footer>end</footer>")) == text
+    assert alone(page(f"{around}<main>{kept}{gone}</main><footer>end</footer>")) == text
+    assert alone(page(f"{around}<div class='entry-content'>{kept}{gone}</div><footer>end</footer>")) == text
+
+
+def test_ties_and_repeated_rows(spark):
+    two = page("<article><p>same size</p></article><section><article id='x'><p>size same</p></article></section>")
+    pages = spark.createDataFrame([(1, "http://a/1", two), (1, "http://a/1", two), (2, "http://a/2", two)], "page_id long, url string, html string")
+    assert {r.text for r in html.main_texts(pages).collect()} == {"same size"} and html.main_texts(pages).count() == 3
+
+
 def test_main_container_of_the_host_and_odd_rows(spark):
     rows = [(i, f"http://a.example/{i}", s) for i, (s, _) in enumerate(CASES)] + [(50, None, CASES[1][0]), (50, "", CASES[2][0])]
     rows = [(a, u or "x", h, "clash", "clash") for a, u, h in rows] + [(60, "http://b.example/", page("<article>" + "<p>word</p>" * 20000 + "</article>"), "", "")]

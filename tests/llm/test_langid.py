@@ -110,3 +110,10 @@ def test_accepted_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "the cat sat on the mat", "en", 1.5, True)] * 30, "doc_id long, text string, lang string, score double, rejected boolean")
     kept = langid.accepted(docs, langid.train(docs))
     assert kept.columns == docs.columns and kept.count() == 30 and {r.score for r in kept.collect()} == {1.5}
+
+
+def test_ties_and_repeated_rows(spark):
+    rows = [("the cat sat on the mat and the dog", lang) for lang in ("b", "a") for _ in range(40)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    got = langid.predict(spark.createDataFrame([(1, "the cat sat"), (1, "the cat sat"), (2, "the cat sat")], "doc_id long, text string"), model).collect()
+    assert {(r.lang_pred, r.rejected) for r in got} == {("a", False)} and len({r.score for r in got}) == 1 and len(got) == 3

@@ -119,3 +119,12 @@ def test_scores_match_brute_force(spark):
     want = np.interp(raw, knots, levels)
     apart = np.abs(want - np.array([got[r.doc_id] for r in rows]))
     assert len(knots) >= 4 and np.quantile(apart, 0.99) < 1e-3, np.sort(apart)[-10:]
+
+
+def test_ties_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(k // 2, ("Good text here. " if k % 4 < 2 else "BAD!! #") * 5) for k in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(40)] + [(0, 0), (1, None)], "doc_id long, label int")
+    got = {}
+    for r in quality.classify(docs, labels).collect():
+        got.setdefault(r.doc_id % 2, set()).add(r.score)
+    assert len(got[0]) == len(got[1]) == 1 and min(got[0]) > max(got[1])
