@@ -10,8 +10,9 @@ by a hash; the parts of the normal equations come from FIT_PARTS tasks, so that
 
 Defined cases: a null text has the statistics of an empty one and gets a score like any other; rows with a null label
 aren't learned from; very long texts are read whole; of several labels of a document the largest counts; equal raw scores are
-one place of the calibration, which takes all labelled rows where the rest set aside for it has one label only; without labelled rows every score is 0.5; repeated rows have equal scores; an empty table gives
-an empty result; extra columns are not read.
+one place of the calibration; where the rows set aside for it, or the others, have one label only, all rows serve both; without
+labelled rows every score is 0.5; repeated rows have equal scores; an empty table gives an empty result; extra columns are not
+read.
 """
 
 from __future__ import annotations
@@ -188,7 +189,9 @@ def train(labelled: DataFrame, seed: int = 7) -> Model:
             gram, target, n = gram + z.T @ z, target + z.T @ y, n + len(y)
         yield pa.record_batch([pa.array([float(n)]), pa.array([gram.ravel().tolist()]), pa.array([target.tolist()])], names=["n", "gram", "target"])
 
-    parts = sample.where("part <> 0").select("x", "label").mapInArrow(equations, "n double, gram array<double>, target array<double>").collect()
+    labels = {r["held"]: r["labels"] for r in sample.groupBy((F.col("part") == 0).alias("held")).agg(F.count_distinct("label").alias("labels")).collect()}
+    apart = min(labels.get(True, 0), labels.get(False, 0)) > 1
+    parts = (sample.where("part <> 0") if apart else sample).select("x", "label").mapInArrow(equations, "n double, gram array<double>, target array<double>").collect()
     gram = np.sum([p["gram"] for p in parts], axis=0).reshape(FEATURES + 1, FEATURES + 1)
     n = max(1.0, sum(p["n"] for p in parts))
     model.weights = np.linalg.solve(gram + RIDGE * n / FEATURES * np.eye(FEATURES + 1), np.sum([p["target"] for p in parts], axis=0))
@@ -197,9 +200,7 @@ def train(labelled: DataFrame, seed: int = 7) -> Model:
         for batch in batches:
             yield pa.record_batch([pa.array(model.raw(_matrix(batch.column("x")))), batch.column("label")], names=["raw", "label"])
 
-    held = sample.where("part = 0").select("x", "label").mapInArrow(raws, "raw double, label double").toPandas()
-    if held.label.nunique() < 2:
-        held = sample.select("x", "label").mapInArrow(raws, "raw double, label double").toPandas()
+    held = (sample.where("part = 0") if apart else sample).select("x", "label").mapInArrow(raws, "raw double, label double").toPandas()
     model.knots, model.levels = isotonic(np.round(held.raw.to_numpy(), 6), held.label.to_numpy())
     return model
 
