@@ -332,7 +332,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         found = stash(found)
         met = stash(_met(found.join(hot, "anchor", "left_anti")).unionByName(_met_often(found.join(hot.select("anchor"), "anchor", "left_semi"))))
     whole = met.where("NOT single").select("key", "size", F.col("first").alias("a"), (F.col("first") + F.col("n") * F.col("again") - 1 + LENGTH).alias("b"))
-    wanted = met.where("asked").groupBy("key", "size").agg(F.collect_set(F.struct("anchor", "first", "n", "single", "many")).alias("wanted"))
+    # a frequent anchor's chosen segment stands once for each row that has its text
+    listed = F.collect_list if hot is None else F.collect_set
+    wanted = met.where("asked").groupBy("key", "size").agg(listed(F.struct("anchor", "first", "n", "single", "many")).alias("wanted"))
     mine = docs.withColumn("bytes", F.octet_length("text"))
     owners = mine.groupBy("key", F.col("bytes").alias("size")).agg(F.min("row").alias("row"))
     chosen = wanted.join(owners, ["key", "size"])
