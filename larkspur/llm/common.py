@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.session import cut, ensure_checkpoint_dir
 
-__all__ = ["arrow_rows", "cut", "fewer", "forget", "free_name", "hot_keys", "remainder", "sent", "stash", "table"]
+__all__ = ["arrow_rows", "cut", "forget", "free_name", "hot_keys", "remainder", "sent", "stash", "table"]
 
 #: Rows of an Arrow batch at most, so that a batch of long texts fits in a Python worker.
 ARROW_ROWS = 1000
@@ -75,16 +75,3 @@ def hot_keys(some: DataFrame, key: str) -> DataFrame | None:
     if not total:
         return None
     return F.broadcast(counts.where(F.col("count") >= total / HOT_KEYS).select(key, F.lit(True).alias("hot")))
-
-
-def fewer(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """df in a quarter of its partitions, but enough for every core twice: small rows of many tasks then make few files.
-
-    Without a number, df's partitions are those of its scan; a plan that shuffles stays as it is.
-    """
-    if partitions is None:
-        if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-            return df
-        partitions = df.rdd.getNumPartitions()
-    wanted = max(2 * df.sparkSession.sparkContext.defaultParallelism, partitions // 4)
-    return df.coalesce(wanted) if wanted < partitions else df

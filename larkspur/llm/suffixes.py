@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import HOT_SHARE, arrow_rows, cut, fewer, hot_keys, stash
+from larkspur.llm.common import HOT_SHARE, arrow_rows, cut, hot_keys, stash
 from larkspur.llm.text import byte_hashes, column_bytes, slices, splitmix
 
 LENGTH, GRAM = 200, 50
@@ -325,9 +325,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     found = _segments_of(docs)
     hot = hot_keys(_segments_of(docs.sample(HOT_SHARE, seed=7)).select("anchor"), "anchor")
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if hot is None:
-        met = stash(fewer(_met(found), partitions))
+        met = stash(_met(found))
     else:
         found = stash(found)
         met = stash(_met(found.join(hot, "anchor", "left_anti")).unionByName(_met_often(found.join(hot.select("anchor"), "anchor", "left_semi"))))
